@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm.common import Scratch, table
+from sedge.llm.embedding_dedup import link_vectors
 from sedge.llm.mixing import MIX_SQL, mix
+from sedge.llm.ngram_join import Rule, join_documents
 from sedge.llm.token_counts import count_tokens
 from sedge.llm.token_files import digests, read_tokens, write_tokens
 
@@ -20,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).path("tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
@@ -31,12 +37,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(table(spark, sf_dir, "documents"), Rule(k=3, num=90, den=100))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_files": op3_token_files, "op7_mixing": op7_mixing, "op10_token_counts": op10_token_counts}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_token_files, op7_mixing, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
