@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm.common import Scratch, table
+from sedge.llm.decontaminate import FIND_SQL, find_items
 from sedge.llm.embedding_dedup import link_vectors
+from sedge.llm.line_dedup import DEDUP_SQL, dedup_lines
 from sedge.llm.mixing import MIX_SQL, mix
 from sedge.llm.ngram_join import Rule, join_documents
 from sedge.llm.token_counts import count_tokens
@@ -26,12 +28,20 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=(80, 100))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).path("tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return digests(read_tokens(spark, path))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
@@ -46,8 +56,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_token_files, op7_mixing, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op7_mixing, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIX_SQL}
+    return {"op2_decontaminate": FIND_SQL, "op4_line_dedup": DEDUP_SQL, "op7_mixing": MIX_SQL}
