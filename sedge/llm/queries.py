@@ -13,8 +13,10 @@ from sedge.llm.embedding_dedup import link_vectors
 from sedge.llm.line_dedup import DEDUP_SQL, dedup_lines
 from sedge.llm.mixing import MIX_SQL, mix
 from sedge.llm.ngram_join import Rule, join_documents
+from sedge.llm.quality import score_quality
 from sedge.llm.token_counts import count_tokens
 from sedge.llm.token_files import digests, read_tokens, write_tokens
+from sedge.llm.toxicity import score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +44,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
@@ -56,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op7_mixing, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op5_quality, op6_toxicity, op7_mixing, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
