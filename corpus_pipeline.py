@@ -1,12 +1,62 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: each stage's output is written as Parquet and reread as the next stage's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sedge.llm.common import Scratch, table
+from sedge.llm.decontaminate import drop_contaminated
+from sedge.llm.mixing import emitted, mix
+from sedge.llm.ngram_join import Rule, keep_one
+from sedge.llm.quality import keep_good
+from sedge.llm.queries import tokenizer_path
+from sedge.llm.token_files import digests, read_tokens, write_tokens
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled ones among docs."""
+    return keep_good(docs, table(spark, sf_dir, "labels"), cut=0.3)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest id."""
+    return keep_one(docs, Rule(k=5, num=80, den=100))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item (80 % of its five-word shingles)."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), k=5, threshold=(80, 100))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: each document as often as its source's rate and its own draw say."""
+    return emitted(mix(docs), docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, read back from the token files."""
+    path = Scratch(spark).path("tokens")
+    write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return digests(read_tokens(spark, path))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID output", token_output),
+]
+
+#: A trained model, a similarity join and a tokenizer are no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if n == len(STAGES) - 1 else scratch.save(out, f"stage{n}")
+    return docs

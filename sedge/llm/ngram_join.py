@@ -296,3 +296,12 @@ def join_documents(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     of_class = reps.join(comps, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     out = rows.join(of_class, "key", "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """docs without the rows whose component has a smaller id, all columns as they are.
+
+    Rows without an id or without words stay; rows that repeat a kept id with the same text stay as they are."""
+    mark = "__sedge_gone"
+    gone = join_documents(docs, rule, text).where("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[mark], "left_anti")

@@ -13,6 +13,7 @@ from sedge.llm.embedding_dedup import link_vectors
 from sedge.llm.line_dedup import DEDUP_SQL, dedup_lines
 from sedge.llm.mixing import MIX_SQL, mix
 from sedge.llm.ngram_join import Rule, join_documents
+from sedge.llm.pii import find_pii
 from sedge.llm.quality import score_quality
 from sedge.llm.token_counts import count_tokens
 from sedge.llm.token_files import digests, read_tokens, write_tokens
@@ -57,6 +58,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"), Rule(k=3, num=90, den=100))
 
@@ -66,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op5_quality, op6_toxicity, op7_mixing, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op5_quality, op6_toxicity, op7_mixing, op8_pii, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
