@@ -93,17 +93,11 @@ class Query:
 
     def to_df(self) -> DataFrame:
         """The lazy DataFrame: physical columns, or the projection's names; included rows nested."""
-        binder = self.workspace.binder()
-        df = binder.bind(self.spec)
-        return binder.with_includes(df, binder.model.entity(self.spec.entity), self.spec.includes) if self.spec.includes else df
-
-    def _sorted_rows(self) -> list:
-        df = self.to_df()
-        return df.collect()
+        return self.workspace.binder().loaded(self.spec)
 
     def to_list(self) -> list:
         """All rows as objects, tracked unless said otherwise; projections as dicts."""
-        return self.workspace.materialise(self.spec, self._sorted_rows())
+        return self.workspace.materialise(self.spec, self.to_df().collect())
 
     def first_or_none(self):
         got = self.take(1).to_list()
@@ -212,13 +206,16 @@ class SortedQuery(Query):
         return self.order_by_desc(selector)
 
 
-class RawQuery(Query):
+class RawQuery(SortedQuery):
     """A query over SQL text; steps go on top of it, standing conditions do not apply."""
 
     def __init__(self, workspace: Workspace, spec: Spec, frame: DataFrame):
         super().__init__(workspace, spec)
         self.frame = frame
 
+    def _with(self, kind: type | None = None, cursor: tuple[str, ...] | None = None, **changes) -> Any:
+        return super()._with(None, cursor, **changes)
+
     def _binder(self):
         binder = self.workspace.binder()
         read, name = binder.read, self.spec.entity
@@ -228,9 +225,7 @@ class RawQuery(Query):
         return binder
 
     def to_df(self) -> DataFrame:
-        binder = self._binder()
-        df = binder.bind(self.spec)
-        return binder.with_includes(df, binder.model.entity(self.spec.entity), self.spec.includes) if self.spec.includes else df
+        return self._binder().loaded(self.spec)
 
     def agg_df(self, name: str, selector=None) -> DataFrame:
         return self._binder().aggregate(self.spec, name, None if selector is None else record_path(selector))

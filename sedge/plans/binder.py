@@ -214,21 +214,35 @@ class Binder:
             scope.frame = scope.frame.where(self.condition(scope, X.conjunction(nodes)))
         return scope, nodes
 
-    def bind(self, spec: Spec) -> DataFrame:
+    def loaded(self, spec: Spec) -> DataFrame:
+        """The rows of a spec with its includes.  Joins keep no order, so the sort keys travel along and sort again."""
+        entity = self.model.entity(spec.entity)
+        if not spec.includes:
+            return self.bind(spec)
+        df = self.with_includes(self.bind(spec, keys=True), entity, spec.includes)
+        if not spec.order:
+            return df
+        marks = [f"\0key{n}" for n in range(len(spec.order))]
+        order = [(F.desc_nulls_last if down else F.asc_nulls_first)(F.col(f"`{m}`")) for m, (_, down) in zip(marks, spec.order, strict=True)]
+        return df.orderBy(*order).drop(*marks)
+
+    def bind(self, spec: Spec, keys: bool = False) -> DataFrame:
         """The rows of a spec: filter, project, distinct, order, offset, limit.  Without a projection all the table's
-        columns under their own names."""
+        columns under their own names; with keys, the sort keys too."""
+        kept = [f"\0key{n}" for n in range(len(spec.order))] if keys else []
         order = [X.Field(path) for path, _ in spec.order]
         values = [v for _, v in spec.project or ()]
         scope, _ = self.rows(spec, order + values)
-        keys = [self.value(scope, f) for f in order]
+        by = [self.value(scope, f) for f in order]
         sort = lambda cs: [(F.desc_nulls_last if down else F.asc_nulls_first)(c) for c, (_, down) in zip(cs, spec.order, strict=True)]
         if spec.project is None:
             df = scope.frame.select(*(scope.column(n).alias(n) for n in scope.own.names)) if spec.distinct else scope.frame
             if spec.distinct:
                 df = df.distinct()
-                keys = [F.col(f"`{self.physical(scope, f.path)[1]}`") for f in order]
-            df = df.orderBy(*sort(keys)) if keys else df
-            df = df if spec.distinct else df.select(*(scope.column(n).alias(n) for n in scope.own.names))
+                by = [F.col(f"`{self.physical(scope, f.path)[1]}`") for f in order]
+            df = df.orderBy(*sort(by)) if by else df
+            marks = [c.alias(m) for c, m in zip(by, kept, strict=False)]
+            df = df.select("*", *marks) if spec.distinct else df.select(*(scope.column(n).alias(n) for n in scope.own.names), *marks)
         else:
             named = [self.value(scope, v).alias(n) for n, v in spec.project]
             if spec.distinct:
@@ -238,10 +252,10 @@ class Binder:
                 df = scope.frame.select(*named).distinct()
                 df = df.orderBy(*sort([F.col(f"`{by_value[f]}`") for f in order])) if order else df
             else:
-                hidden = [c.alias(f"\0{n}") for n, c in enumerate(keys)]
+                hidden = [c.alias(f"\0{n}") for n, c in enumerate(by)]
                 df = scope.frame.select(*named, *hidden)
-                if keys:
-                    df = df.orderBy(*sort([F.col(f"`\0{n}`") for n in range(len(keys))]))
+                if by:
+                    df = df.orderBy(*sort([F.col(f"`\0{n}`") for n in range(len(by))]))
                 df = df.select(*(F.col(f"`{n}`") for n, _ in spec.project))
         if spec.skip:
             df = df.offset(spec.skip)
