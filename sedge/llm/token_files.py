@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -61,26 +62,33 @@ class TokenEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, known: dict[str, bytes], tokens: set[str]) -> None:
-        if len(known) + len(tokens) > CACHE:
+    def _learn(self, known: dict[str, bytes], lists: list[list[str]]) -> None:
+        """Makes every token of the lists known: one library call for many texts' new ones."""
+        new = {t for tokens in lists for t in tokens if t not in known}
+        if len(known) + len(new) > CACHE:
             known.clear()
-        new = list(tokens)
+            new = {t for tokens in lists for t in tokens}
+        new = list(new)
         for at in range(0, len(new), 10_000):
-            for w, e in zip(new[at : at + 10_000], self.library.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            found = [e.ids for e in self.library.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
+            flat = np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes()
+            ends = [4 * n for n in itertools.accumulate(map(len, found), initial=0)]
+            known.update(zip(new[at : at + 10_000], map(flat.__getitem__, map(slice, ends, ends[1:])), strict=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        plain, words = [], []
+        for n, text in enumerate(texts):
             if not self.exact or self.special and self.special.search(text):
-                out.append(self._whole(text))
-                continue
-            known, tokens = (self.words, _WORDS.findall(text)) if _EXOTIC.search(text) else (self.plain, _PLAIN.findall(text.lower()))
-            got = list(map(known.get, tokens))
-            if None in got:
-                self._learn(known, {t for t, g in zip(tokens, got, strict=True) if g is None})
-                got = [known.get(t) or g or b"" for t, g in zip(tokens, got, strict=True)]
-            out.append(np.frombuffer(b"".join(got), "<u4"))
+                out[n] = self._whole(text)
+            else:
+                (words if _EXOTIC.search(text) else plain).append(n)
+        for some, known, split in ((plain, self.plain, lambda t: _PLAIN.findall(t.lower())), (words, self.words, _WORDS.findall)):
+            lists = [split(texts[n]) for n in some]
+            self._learn(known, lists)
+            for n, tokens in zip(some, lists, strict=True):
+                out[n] = np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<u4")
         return out
 
 
