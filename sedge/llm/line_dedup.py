@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
 
     A line goes if it lies in a run of consecutive lines with min_words words or more that occurs earlier, in a document
     with a smaller id (null smallest, ties by a hash of the text) or further up in the same one; the first occurrence
-    stays.  A null text counts as one empty line and comes back empty; short documents and empty tables pass unchanged;
+    stays.  An earlier occurrence may overlap the later one, so of one line repeated many times over its first copy stays.  A null text counts as one empty line and comes back empty; short documents and empty tables pass unchanged;
     rows equal in id and text are one document and come back alike.  Very long texts cost one array of line hashes.
     Extra columns are ignored.
     """

@@ -56,7 +56,8 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], cut: float
 
     def run(texts: pa.Array) -> pa.Array:
         out = [score([t or "" for t in texts.slice(at, 256).to_pylist()]) for at in range(0, len(texts), 256)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        # six digits: sums in another batch may differ in the last ones
+        return pa.array(np.round(np.concatenate(out), 6) if out else np.zeros(0), pa.float64())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(run, "double")(F.col(text)).alias("score"), *(keep or []))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *(keep or []))
