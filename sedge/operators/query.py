@@ -97,7 +97,7 @@ class Query:
 
     def to_list(self) -> list:
         """All rows as objects, tracked unless said otherwise; projections as dicts."""
-        return self.workspace.materialise(self.spec, self.to_df().collect())
+        return self.workspace.materialise(self.spec, self.to_df())
 
     def first_or_none(self):
         got = self.take(1).to_list()

@@ -87,7 +87,8 @@ class Tracker:
     def find(self, entity: Entity, key: tuple) -> Entry | None:
         return self.by_key.get((entity.name, _mark(key)))
 
-    def set(self, item, entity: Entity, state: State) -> Entry:
+    def set(self, item, entity: Entity, state: State, original: dict | None = None) -> Entry:
+        """Puts an object into a state; for an unchanged one, original may say what is stored."""
         e = self.entry(item, entity)
         at = self._at(e)
         other = self.by_key.get(at) if at else None
@@ -100,7 +101,7 @@ class Tracker:
                 self.by_key.pop(at, None)
             return e
         if state == State.UNCHANGED:
-            e.original = e.values()
+            e.original = e.values() if original is None else original
         self.entries[id(item)] = e
         if at:
             self.by_key[at] = e

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from sedge.errors import SedgeError, TranslationError
 from sedge.functions import expr as X
@@ -164,6 +165,18 @@ class Lazy:
         return self._value
 
 
+#: Types that reach Python the same through Arrow, column-wise, as through rows.
+_FLAT = (T.StringType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType, T.DateType, T.TimestampNTZType, T.DecimalType)
+
+
+def _fetched(df: DataFrame) -> tuple[list[str], Any]:
+    """A frame's column names and rows; flat frames come as Arrow columns."""
+    if df.columns and all(isinstance(f.dataType, _FLAT) for f in df.schema.fields):
+        table = df.toArrow()
+        return df.columns, list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+    return df.columns, df.collect()
+
+
 class Workspace:
     """A unit of work.  Subclasses may state their model in `describe`, or pass one.
 
@@ -218,51 +231,85 @@ class Workspace:
         scope = binder.scope(entity)
         return scope.frame.where(binder.condition(scope, X.conjunction(nodes))).select(*(scope.column(c).alias(c) for c in frame.columns))
 
-    def materialise(self, spec: Spec, rows: list) -> list:
+    def materialise(self, spec: Spec, df: DataFrame) -> list:
+        """A query's rows as objects, or as dicts for a projection."""
         entity = self.model.entity(spec.entity)
+        names, rows = _fetched(df)
         if spec.project is not None:
-            return [self._projected(spec, entity, r.asDict(True)) for r in rows]
-        return [self._object(entity, r.asDict(True), spec.includes, spec.tracked) for r in rows]
-
-    def _projected(self, spec: Spec, entity: Entity, row: dict) -> dict:
-        out = {}
-        for name, node in spec.project or ():
-            p = entity.by_name.get(node.path[0]) if isinstance(node, X.Field) and len(node.path) == 1 else None
-            out[name] = self.converters.value(p.conversion if p else None, row[name])
-        return out
-
-    def _object(self, entity: Entity, row: dict, includes: tuple[Include, ...], tracked: bool):
-        names = {p.column: p for p in entity.properties}
-        owned = owned_columns(self.model, entity)
+            by_name = {n: v for n, v in spec.project}
+            kinds = [self._conversion(entity, by_name[n]) for n in names]
+            if not any(kinds):
+                return [dict(zip(names, r, strict=True)) for r in rows]
+            return [{n: self.converters.value(k, x) for n, k, x in zip(names, kinds, r, strict=True)} for r in rows]
+        make = self._maker(entity, names, spec.includes, spec.tracked)
+        return [make(r) for r in rows]
+
+    @staticmethod
+    def _conversion(entity: Entity, node) -> str | None:
+        p = entity.by_name.get(node.path[0]) if isinstance(node, X.Field) and len(node.path) == 1 else None
+        return p.conversion if p else None
+
+    def _maker(self, entity: Entity, names: list[str], includes: tuple[Include, ...], tracked: bool) -> Callable[[tuple], Any]:
+        """A function from a row to an object; what depends on the columns alone is worked out once."""
         kind = self.kinds.get(entity.name, Record)
-        item = kind.__new__(kind)
-        inside: dict[str, dict] = {}
+        by_column = {p.column: p for p in entity.properties}
+        owned = owned_columns(self.model, entity)
         loads = {i.name: i for i in includes}
-        for column, x in row.items():
-            if column in owned:
+        plain, parts, children, attributes, conversions = [], [], [], [], []
+        for n, column in enumerate(names):
+            if column in loads:
+                children.append((n, column, self.model.entity(entity.navs[column].target), loads[column].children))
+            elif column in owned:
                 nav, prop = owned[column]
-                p = self.model.entity(entity.navs[nav].target).by_name[prop]
-                inside.setdefault(nav, {})[prop] = self.converters.value(p.conversion, x)
-            elif column not in loads:
-                p = names.get(column)
-                setattr(item, p.name if p else column, self.converters.value(p.conversion if p else None, x))
-        for nav, values in inside.items():
-            kind = self.kinds.get(entity.navs[nav].target, Record)
-            part = kind.__new__(kind)
-            part.__dict__.update(values)
-            setattr(item, nav, None if all(v is None for v in values.values()) else part)
-        if tracked and entity.key:
-            have = self.tracker.find(entity, tuple(getattr(item, k, None) for k in entity.key))
-            if have:
-                item = have.item
+                parts.append((n, nav, prop, self.model.entity(entity.navs[nav].target).by_name[prop].conversion))
             else:
-                self.tracker.set(item, entity, State.UNCHANGED)
-        for name, inc in loads.items():
-            if name in row:
-                target = self.model.entity(entity.navs[name].target)
-                got = row[name]
-                setattr(item, name, [self._object(target, r, inc.children, False) for r in got] if isinstance(got, list) else None if got is None else self._object(target, got, inc.children, False))
-        return item
+                p = by_column.get(column)
+                plain.append(n)
+                attributes.append(p.name if p else column)
+                conversions.append(p.conversion if p else None)
+        stored = [n for n, c in enumerate(names) if c not in loads]
+        stored_names = [names[n] for n in stored]
+        keyed = tracked and bool(entity.key)
+        whole = len(plain) == len(names)
+        convert = [(a, self.converters.get(c)) for a, c in zip(attributes, conversions, strict=True) if c]
+        makers: dict[tuple, Callable] = {}
+
+        def make(row: tuple):
+            item = kind.__new__(kind)
+            values = item.__dict__
+            values.update(zip(attributes, row if whole else [row[n] for n in plain], strict=True))
+            for name, c in convert:
+                if values[name] is not None:
+                    values[name] = c.to_value(values[name])
+            inside: dict[str, dict] = {}
+            for n, nav, prop, c in parts:
+                inside.setdefault(nav, {})[prop] = self.converters.value(c, row[n])
+            for nav, x in inside.items():
+                part_kind = self.kinds.get(entity.navs[nav].target, Record)
+                part = part_kind.__new__(part_kind)
+                part.__dict__.update(x)
+                values[nav] = None if all(v is None for v in x.values()) else part
+            if keyed:
+                have = self.tracker.find(entity, tuple(values.get(k) for k in entity.key))
+                if have:
+                    item = have.item
+                else:
+                    self.tracker.set(item, entity, State.UNCHANGED, dict(zip(stored_names, [row[n] for n in stored], strict=True)))
+            for n, name, target, below in children:
+                setattr(item, name, self._nested(row[n], target, below, makers))
+            return item
+
+        return make
+
+    def _nested(self, x, target: Entity, below: tuple[Include, ...], makers: dict):
+        """The objects in an included column; they are not tracked."""
+        if x is None:
+            return None
+        if isinstance(x, list):
+            return [self._nested(y, target, below, makers) for y in x]
+        if target.name not in makers:
+            makers[target.name] = self._maker(target, list(x.__fields__), below, False)
+        return makers[target.name](tuple(x))
 
     def entry(self, item, kind=None) -> EntryHandle:
         e = self.tracker.entries.get(id(item))
