@@ -91,9 +91,16 @@ class Query:
 
     # -- results -----------------------------------------------------------------------------------------------------
 
-    def to_df(self) -> DataFrame:
-        """The lazy DataFrame: physical columns, or the projection's names; included rows nested."""
-        return self.workspace.binder().loaded(self.spec)
+    def to_df(self, converted: bool = False) -> DataFrame:
+        """The lazy DataFrame: physical columns, or the projection's names; included rows nested.  converted also reads
+        the entity's columns through those converters that work on Columns."""
+        df = self.workspace.binder().loaded(self.spec)
+        if converted and self.spec.project is None:
+            for p in self.workspace.model.entity(self.spec.entity).properties:
+                c = self.workspace.converters.get(p.conversion)
+                if c and c.read:
+                    df = df.withColumn(p.column, c.read(F.col(f"`{p.column}`")))
+        return df
 
     def to_list(self) -> list:
         """All rows as objects, tracked unless said otherwise; projections as dicts."""
@@ -224,7 +231,7 @@ class RawQuery(SortedQuery):
         binder.standing = lambda e, ignore=False: [] if e.name == name else standing(e, ignore)
         return binder
 
-    def to_df(self) -> DataFrame:
+    def to_df(self, converted: bool = False) -> DataFrame:
         return self._binder().loaded(self.spec)
 
     def agg_df(self, name: str, selector=None) -> DataFrame:

@@ -186,6 +186,8 @@ def test_converters(spark):
     assert a.tags == ["a", "b"] and a.at == dt.datetime(2024, 1, 2, 3, 4, 5) and a.premium is True
     assert w.set("Account").where(lambda x: x.at == dt.datetime(2024, 1, 2, 3, 4, 5)).count() == 1
     assert w.set("Account").select(lambda x: {"tags": x.tags}).take(1).to_list()[0]["tags"] == ["a", "b"]
+    first = w.set("Account").order_by("id").to_df(converted=True).first()
+    assert first["premium"] is True and first["at"] == dt.datetime(2024, 1, 2, 3, 4, 5)
     m2 = ModelConfig()
     m2.entity("Account").key("id").property("tags").convert("none such")
     with pytest.raises(Exception, match="none such"):
