@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,11 +123,11 @@ def _sum_group(group: pa.Table) -> pa.Table:
     return pa.table({"task": [group.column("up")[0].as_py()], "chunk": pa.array([group.column("chunk")[0].as_py()], pa.int32()), "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def summed_counts(rows: DataFrame, size: int, fan_in: int = 64) -> np.ndarray:
-    """The sum of all tasks' tables as one array of `size` counts.
+def summed_counts(rows: DataFrame, size: int, encode=lambda x: x, kind=np.int64, fan_in: int = 64) -> np.ndarray:
+    """The sum of all tasks' tables as one array of `size` counts, each chunk turned by `encode` into `kind`.
 
     Tables are added up in a tree, at most `fan_in` in a group, so no task's input grows with the number of tasks; the
-    driver gets size/65536 rows, whatever the input.
+    driver gets size/65536 packed rows, whatever the input, and holds one array of `kind`.
     """
     tasks = (rows.agg(F.max("task")).first()[0] or 0) + 1
     while True:
@@ -135,20 +135,8 @@ def summed_counts(rows: DataFrame, size: int, fan_in: int = 64) -> np.ndarray:
         tasks = -(-tasks // fan_in)
         if tasks <= 1:
             break
-    out = np.zeros(size, np.int64)
+    out = np.zeros(size, kind)
     for r in rows.collect():
         part = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-        out[r["chunk"] * _CHUNK :][: len(part)] += part
+        out[r["chunk"] * _CHUNK :][: len(part)] = encode(part)
     return out
-
-
-def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most `size` rows."""
-    held: list[dict] = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)

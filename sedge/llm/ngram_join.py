@@ -209,13 +209,13 @@ def crossing_pairs(prefix: DataFrame, rule: Rule) -> DataFrame:
     larger one whose documents lie in several components is dealt to cells of two blocks each, so that each pair of
     blocks meets in exactly one bounded task."""
     rows = _exploded(prefix, None).withColumn("n", _blocks())
-    small = rows.where("n <= 1").withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("long"))
-    hot = rows.where("n > 1")
-    split = hot.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gram")
+    small = rows.where("n <= 1").drop("n").withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("long"))
+    hot = rows.where("n > 1").drop("n")
+    split = hot.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("n")).where("lo != hi").select("gram", "n")
     hot = hot.join(split, "gram").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("n")).cast("long"))
     # cell of blocks (p, q), p <= q: even for p == q (pairs within the block), odd for p < q (pairs across the two)
     cells = F.expr("transform(sequence(0L, n - 1), o -> struct(2 * (least(blk, o) * n + greatest(blk, o)) + IF(blk = o, 0, 1) AS cell, IF(blk <= o, 0L, 1L) AS side))")
-    hot = hot.withColumn("at", F.explode(cells)).select(*rows.columns, F.col("at.cell").alias("cell"), F.col("at.side").alias("side"))
+    hot = hot.withColumn("at", F.explode(cells)).select(*small.columns[:-2], F.col("at.cell").alias("cell"), F.col("at.side").alias("side"))
     return _pairs(small.unionByName(hot), rule, True)
 
 
@@ -236,7 +236,8 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, rule: Rule, scr
         for r in packed_counts(TaskContext.get().partitionId(), bits):
             yield pa.RecordBatch.from_pylist([r], pa.schema([("task", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    named = spark.sparkContext.broadcast(np.packbits(summed_counts(pairs.mapInArrow(mark, "task long, chunk int, counts binary"), size) > 0))
+    marks = summed_counts(pairs.mapInArrow(mark, "task long, chunk int, counts binary"), size, lambda x: x > 0, bool)
+    named = spark.sparkContext.broadcast(np.packbits(marks))
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(named.value)
@@ -257,6 +258,7 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, rule: Rule, scr
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     found = found.join(reps.join(ids, "doc", "left_semi"), ["doc", "key"], "left_semi").select("doc", "grams").dropDuplicates(["doc"])
     found = scratch.save(found, "sets")
+    named.destroy()
     both = pairs.join(found.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a").join(found.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
     both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("c"))
     out = scratch.save(both.where(rule.den * F.col("c") >= rule.num * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links")
@@ -280,11 +282,11 @@ def join_documents(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     both = scratch.save(classes(docs, rule, text), "classes")
-    counts = summed_counts(both.where("chunk is not null").select("task", "chunk", "counts"), rule.buckets)
-    order = spark.sparkContext.broadcast(_encoded(counts))
+    order = spark.sparkContext.broadcast(summed_counts(both.where("chunk is not null").select("task", "chunk", "counts"), rule.buckets, _encoded, np.uint16))
     rows = both.where("chunk is null").select("doc", "key", "n_shingles")
     reps = scratch.save(rows.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("doc")), "reps")
     prefix = scratch.save(prefixes(docs, rule, order, text).join(reps, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).drop("key"), "prefixes")
+    order.destroy()
     tried = scratch.save(linking_pairs(prefix, rule), "pairs")
     links = verified(docs, tried, reps, rule, scratch, text)
     comps = components(links, scratch)
