@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import cache
 
@@ -67,7 +68,8 @@ def _ranks(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     local = scratch.save(flat.repartitionByRange(n, *order).sortWithinPartitions(*order).select("row", "pass").mapInArrow(number, "row long, pass int, part int, n long"), "ranks")
     sizes = {r["part"]: r["count"] for r in local.groupBy("part").count().collect()}
     parts = sorted(sizes)
-    starts = spark.createDataFrame([(p, sum(sizes[q] for q in parts if q < p)) for p in parts], "at int, start long")
+    offsets = itertools.accumulate((sizes[p] for p in parts), initial=0)
+    starts = spark.createDataFrame(list(zip(parts, offsets, strict=False)), "at int, start long")
     return local.join(F.broadcast(starts), F.col("part") == F.col("at")).select("row", "pass", (F.col("n") + F.col("start")).alias("rank"))
 
 
