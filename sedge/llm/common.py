@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,11 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of finished jobs now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -71,7 +78,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class WordHashes(dict):
     """Word (UTF-8 bytes) -> 64-bit hash.  A cache of at most `most` words; the rest are hashed each time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -87,6 +94,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """A worker process's one cache, for all operators."""
+    return WordHashes()
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """One 64-bit hash for each run of k words, in text order; with fewer than k words, one for the whole sequence."""
     n = len(words)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import WordHashes, shingle_hashes
+from sedge.llm.common import WordHashes, shingle_hashes, word_hashes
 
 #: Items that one broadcast index holds; more items are searched for in further blocks, each with a pass of its own.
 BLOCK_ITEMS, BLOCK_BYTES = 50_000, 16 << 20
@@ -121,7 +120,7 @@ def _finder(index):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())]))
 
     def find(texts: pa.Array) -> pa.Array:
-        hashes, out = _cache(), []
+        hashes, out = word_hashes(), []
         for t in texts.to_pylist():
             words = _words(t or "")
             out.append(index.value.matches(words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
@@ -130,11 +129,6 @@ def _finder(index):
     return find
 
 
-@cache
-def _cache() -> WordHashes:
-    return WordHashes()
-
-
 def find_items(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles), one row for each item found in a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))

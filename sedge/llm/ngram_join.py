@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Scratch, WordHashes, packed_counts, shingle_hashes, summed_counts, texts_of
+from sedge.llm.common import Scratch, packed_counts, shingle_hashes, summed_counts, texts_of, word_hashes
 from sedge.llm.graph import components
 
 #: Prefix n-grams that the first, linking round uses; groups beyond BLOCK rows are dealt out in blocks of that size.
 FIRST, BLOCK = 6, 1024
 _CLASS = "doc long, key binary, n_shingles long, task long, chunk int, counts binary"
-_PREFIX = "doc long, key binary, size long, grams array<long>, sigs array<long>, loads array<long>"
+_PREFIX = "doc long, key binary, size long, grams array<long>, sigs array<long>, loads array<int>"
 _PAIRS = "a long, b long"
 
 
@@ -38,14 +38,8 @@ class Rule:
         return -(-self.num * (a + b) // (self.num + self.den))
 
 
-_words: WordHashes | None = None
-
-
 def _shingles(text: str, k: int) -> np.ndarray:
-    global _words
-    if _words is None:
-        _words = WordHashes()
-    return np.unique(shingle_hashes(_words.of(text), k))
+    return np.unique(shingle_hashes(word_hashes().of(text), k))
 
 
 def _encoded(counts: np.ndarray) -> np.ndarray:
@@ -57,7 +51,7 @@ def _encoded(counts: np.ndarray) -> np.ndarray:
 def _decoded(codes: np.ndarray) -> np.ndarray:
     """Upper bounds of the counts."""
     c = codes.astype(np.int64)
-    return np.where(c < 32768, c, np.ceil(32768 * 2.0 ** ((c - 32768) / 1024)).astype(np.int64))
+    return np.where(c < 32768, c, np.minimum(np.ceil(32768 * 2.0 ** ((c - 32768) / 1024)), 2**31 - 1)).astype(np.int32)
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
@@ -112,7 +106,7 @@ def prefixes(docs: DataFrame, rule: Rule, order, text: str = "text") -> DataFram
                     out.append((doc, key, len(s), grams.view(np.int64), sigs.view(np.int64), _decoded(load[first])))
                 if out:
                     d, k, n, g, z, c = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (g, z, c))], ["doc", "key", "size", "grams", "sigs", "loads"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(t)) for x, t in ((g, pa.int64()), (z, pa.int64()), (c, pa.int32())))], ["doc", "key", "size", "grams", "sigs", "loads"])
 
     return _rows(docs, text).mapInArrow(run, _PREFIX)
 
@@ -283,18 +277,29 @@ def join_documents(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     scratch = Scratch(spark)
     both = scratch.save(classes(docs, rule, text), "classes")
     order = spark.sparkContext.broadcast(summed_counts(both.where("chunk is not null").select("task", "chunk", "counts"), rule.buckets, _encoded, np.uint16))
-    rows = both.where("chunk is null").select("doc", "key", "n_shingles")
+    rows = scratch.save(both.where("chunk is null").select("doc", "key", "n_shingles"), "rows")
+    scratch.drop(both)
+    scratch.tidy()
     reps = scratch.save(rows.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("doc")), "reps")
-    prefix = scratch.save(prefixes(docs, rule, order, text).join(reps, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).drop("key"), "prefixes")
+    # of every document, so that only round two, which needs the components too, has to shuffle whole prefixes
+    prefix = scratch.save(prefixes(docs, rule, order, text), "prefixes")
     order.destroy()
-    tried = scratch.save(linking_pairs(prefix, rule), "pairs")
+    heads = prefix.select("doc", "key", "size", *(F.slice(c, 1, FIRST).alias(c) for c in ("grams", "sigs", "loads")))
+    heads = heads.join(reps, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).drop("key")
+    tried = scratch.save(linking_pairs(heads, rule), "pairs")
+    scratch.tidy()
     links = verified(docs, tried, reps, rule, scratch, text)
+    scratch.tidy()
     comps = components(links, scratch)
-    joined = prefix.join(comps, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
+    placed = reps.join(comps, F.col("doc") == F.col("node"), "left").select("doc", "key", F.coalesce("component", "doc").alias("comp"))
+    joined = prefix.join(placed, ["doc", "key"]).dropDuplicates(["doc", "key"]).drop("key")
     more = scratch.save(crossing_pairs(joined, rule).join(tried, ["a", "b"], "left_anti"), "pairs")
+    scratch.drop(prefix, tried)
+    scratch.tidy()
     links = links.union(verified(docs, more, reps, rule, scratch, text))
     comps = components(links, scratch)
-    scratch.drop(prefix, tried, more)
+    scratch.drop(more)
+    scratch.tidy()
     of_class = reps.join(comps, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     out = rows.join(of_class, "key", "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))

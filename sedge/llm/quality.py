@@ -31,7 +31,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         h = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
         code = zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES << 48 | h % WORDS << 40 | h
-        if len(self) < 400_000:
+        if len(self) < 250_000:
             self[word] = code
         return code
 
