@@ -25,7 +25,7 @@ def _planes(dim: int, passes: int, seed: int) -> np.ndarray:
 
 
 def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Comparable vectors with a row number, their dimension and one key for each pass: 63 one-bit hashes, the first the most significant."""
+    """Comparable vectors, as unit vectors, with a row number, their dimension and one key for each pass: 63 one-bit hashes, the first the most significant."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -39,7 +39,7 @@ def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
                 norm = np.sqrt(x @ x)
                 if 0 < norm < np.inf:
                     bits = (x @ _planes(len(x), passes, seed) > 0).reshape(passes, 63)
-                    out.append((row, ids[n], labels[n], len(x), x, bits @ weight))
+                    out.append((row, ids[n], labels[n], len(x), x / norm, bits @ weight))
                 row += 1
             if out:
                 r, i, g, d, x, k = zip(*out, strict=True)
@@ -84,15 +84,73 @@ def _joined(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             comp = comp[comp]
 
 
+def _copies(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal label and direction as one: (vec_id, c rows, rep), and by rep vec_id the least id, m rows and own.
+
+    Rows whose id other rows have too stay apart from the other ids' (own is their id, else null), as they do not link
+    with each other.  Groups are pre-aggregated and joined on 128 bits of the vector, so a hot vector is no large task.
+    """
+    at = keyed.select("vec_id", "row", F.xxhash64("label", "dim", "v").alias("h1"), F.xxhash64(F.lit(2), "label", "dim", "v").alias("h2"))
+    at = at.groupBy("vec_id", "h1", "h2").agg(F.count("*").alias("c"), F.min("row").alias("row"))
+    often = at.groupBy("vec_id").agg(F.sum("c").alias("t")).where("t > 1").select("vec_id", F.col("vec_id").alias("own"))
+    at = scratch.save(at.join(often, "vec_id", "left"), "members")
+    reps = scratch.save(at.groupBy("own", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.sum("c").alias("m"), F.min("row").alias("rep")), "reps")
+    by = reps.select(F.col("own").alias("own2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep")
+    members = at.join(by, at["own"].eqNullSafe(by["own2"]) & (at["h1"] == by["g1"]) & (at["h2"] == by["g2"])).select("vec_id", "c", "rep")
+    return members, reps.select("rep", "vec_id", "m", "own")
+
+
+def _counted(reps: DataFrame, comps: DataFrame, threshold: float, block: int, scratch: Scratch) -> DataFrame:
+    """(rep, n): the rows each rep's rows link with, exactly within its component; reps without any may be missing.
+
+    A component's vectors of one label are dealt to blocks of about `block` by a hash; a task gets two blocks, however
+    large the component, or as many small components as make up about a block.
+    """
+    group = ["component", "label", "dim"]
+    mine = scratch.save(reps.join(comps, reps["vec_id"] == comps["node"]).drop("node", "keys"), "grouped")
+    sizes = mine.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
+    tasks = max(1, mine.count() // block)
+    dealt = mine.join(sizes.select(*[F.col(x).alias(f"{x}2") for x in group], "size"), F.expr(" AND ".join(f"{x} = {x}2" for x in group)))
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(*group), F.lit(tasks))).otherwise(F.xxhash64(*group))
+    dealt = dealt.select("rep", "vec_id", "m", "own", *group, "v", "b", bundle.alias("bundle"), F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+
+    def count(rows: pa.Table) -> pa.Table:
+        kinds = list(zip(*(rows.column(x).to_pylist() for x in group), strict=True))
+        number = {k: n for n, k in enumerate(dict.fromkeys(kinds))}
+        kind = np.array([number[k] for k in kinds])
+        order = np.argsort(kind, kind="stable")
+        b, ids, m = (rows.column(x).to_numpy() for x in ("b", "vec_id", "m"))
+        apart = ~rows.column("own").is_null().to_numpy()
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        cells = rows.column("v").combine_chunks()
+        flat, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
+        total = np.zeros(len(ids), np.int64)
+        for at in np.split(order, np.cumsum(np.bincount(kind))[:-1]):
+            x = np.stack([flat[ends[o] : ends[o + 1]] for o in at])
+            for k in range(0, len(at), 128):
+                i, j = np.nonzero(x[k : k + 128] @ x.T >= threshold)
+                i, j = at[i + k], at[j]
+                # two blocks: pairs within one of them are another task's; ids that repeat do not link with themselves
+                ok = (i != j) & ~(apart[i] & (ids[i] == ids[j])) & ((lo == hi) | (b[i] != b[j]))
+                np.add.at(total, i[ok], m[j[ok]])
+        return pa.table({"rep": rows.column("rep"), "n": total})
+
+    found = dealt.groupBy("bundle", "lo", "hi").applyInArrow(count, "rep long, n long")
+    return found.groupBy("rep").agg(F.sum("n").alias("n"))
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW, seed: int = SEED, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors.
 
     Each pass orders all vectors by label and concatenated random-hyperplane bits and compares each with the `window`
     vectors after it: ranks are cut into blocks of `window`, and a task gets one block and the next, at most
-    2 * window rows however hot a label or however large a group of copies.  Cosines are taken in double precision,
-    links are pairs at `threshold` or above.  Every vector carries its ranks in all passes, so a pair is counted in the
-    first pass that meets it and in no other, without any table of pairs; a task hands on counts and one edge for each
-    linked row, and components are joined over those edges.
+    2 * window rows however hot a label.  Equal directions of one label are one vector there, with a multiplicity.
+    Cosines are taken in double precision, links are pairs at `threshold` or above.  A task hands on one edge for each
+    linked row, and components are joined over those edges.  n_links is counted after that, exactly within each
+    component, by pairs of blocks of `window`, so it does not end at a window however large a group of near copies;
+    that costs the square of such a group's distinct vectors in comparisons.
 
     Labels with at most window + 1 vectors are compared completely.  In a larger one a pair at angle t is met in a pass
     if the b bits that narrow the label to a window agree, with probability about (1 - t / pi) ** b; the passes are
@@ -105,8 +163,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = PASS
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
     keyed = scratch.save(_keyed(rows, passes, seed), "keyed")
-    ranks = _ranks(keyed, scratch).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    ready = keyed.drop("keys").join(ranks, "row")
+    members, reps = _copies(keyed, scratch)
+    reps = scratch.save(reps.join(keyed.drop("vec_id"), reps["rep"] == keyed["row"]), "vectors")
+    scratch.drop(keyed)
+    ranks = _ranks(reps, scratch).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    ready = reps.select("row", "vec_id", "label", "dim", "v").join(ranks, "row")
     cells = F.expr(f"flatten(transform(ranks, (r, p) -> array(struct(p AS pass, r div {window}L AS block, 0 AS side), struct(p AS pass, r div {window}L - 1 AS block, 1 AS side))))")
 
     def block(group: pa.Table) -> pa.Table:
@@ -121,12 +182,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = PASS
         kind = np.array([number[k] for k in kinds])[order]
         cells = group.column("v").combine_chunks()
         flat, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
-        n_links, comp = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        comp = np.arange(len(ids))
         for g in range(len(number)):
             at = np.flatnonzero(kind == g)
             left = at[side[at] == 0]
             x = np.stack([flat[ends[o] : ends[o + 1]] for o in order[at]])
-            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
             for k in range(0, len(left), 128):
                 i, j = np.nonzero(x[k : min(k + 128, len(left))] @ x.T >= threshold)  # left rows come first in at
                 i, j = left[i + k], at[j]
@@ -134,20 +194,20 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = PASS
                 i, j = i[ok], j[ok]
                 if len(i):
                     comp = _joined(comp, i, j)
-                    new = (np.abs(rank[i, :p] - rank[j, :p]) > window).all(axis=1)
-                    n_links += np.bincount(i[new], minlength=len(ids)) + np.bincount(j[new], minlength=len(ids))
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, comp, ids)
         root = least[comp]
-        out = (n_links > 0) | (root != ids)
-        return pa.table({"vec_id": ids[out], "n": n_links[out], "root": root[out]})
-
-    seen = ready.withColumn("c", F.explode(cells)).select("vec_id", "label", "dim", "v", "ranks", "c.*").groupBy("pass", "block").applyInArrow(block, "vec_id long, n long, root long")
-    seen = scratch.save(seen, "links")
-    comps = components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
-    counts = seen.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    found = counts.join(comps, F.col("vec_id") == F.col("node"), "full").select(F.coalesce("vec_id", "node").alias("id"), "n", "component")
-    scratch.drop(keyed)
+        out = root != ids
+        return pa.table({"vec_id": ids[out], "root": root[out]})
+
+    seen = ready.withColumn("c", F.explode(cells)).select("vec_id", "label", "dim", "v", "ranks", "c.*").groupBy("pass", "block").applyInArrow(block, "vec_id long, root long")
+    comps = scratch.save(components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch), "components")
+    linked = scratch.save(_counted(reps, comps, threshold, window, scratch), "links")
+    # a rep's rows under ids of their own also link with each other
+    known = reps.select("rep", F.col("vec_id").alias("least"), F.when(F.col("own").isNull(), F.col("m") - 1).otherwise(0).alias("same"))
+    known = known.join(linked, "rep", "left").join(comps, F.col("least") == F.col("node"), "left")
+    known = known.select("rep", (F.col("same") + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component"))
+    found = members.join(known, "rep").groupBy(F.col("vec_id").alias("id")).agg(F.sum(F.col("c") * F.col("n")).alias("n"), F.min("component").alias("component"))
     out = rows.select("vec_id").join(found, F.col("vec_id") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

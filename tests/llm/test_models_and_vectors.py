@@ -55,6 +55,22 @@ def test_links_against_brute_force(spark, window, passes, recall):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_links_beyond_a_window(spark):
+    """Groups of copies and near copies far larger than a window, scaled copies and repeated ids count all their links."""
+    r = np.random.default_rng(7)
+    base, other, third = r.standard_normal((3, 16))
+    rows = [(n, base.tolist(), 0) for n in range(300)] + [(1000 + n, (other + 0.1 * r.standard_normal(16)).tolist(), 0) for n in range(200)]
+    rows += [(2000 + n, (third * (n + 1)).tolist(), 0) for n in range(150)] + [(3000, (base + 0.02 * r.standard_normal(16)).tolist(), 0)]
+    rows = [(i, x, g) for i, x, g in rows] + [(5000 + n, x, 1) for n, x in enumerate(r.standard_normal((20, 16)).tolist())]
+    schema = "vec_id long, embedding array<double>, label int"
+    want = brute_links(rows)
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in link_vectors(spark.createDataFrame(rows, schema), window=32).collect()}
+    assert got == want and want[0][0] >= 300 and want[1000][0] > 65
+    twice = [(7, base.tolist(), 0)] * 3 + [(7, (base + 0.01).tolist(), 0)]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in link_vectors(spark.createDataFrame(rows[:5] + [(8, base.tolist(), 0)] + [x for x in twice], schema), window=32).collect()}
+    assert got[8] == (9, 0) and got[7] == (24, 0)
+
+
 def test_odd_vectors(spark):
     nan, inf, one = float("nan"), float("inf"), [1.0, 2.0]
     rows = [(1, one, 1), (2, one, 1), (3, one, 2), (4, one, None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [1.0, nan], 1), (9, [inf, 1.0], 1), (10, [1.0, 2.0, 0.0], 1), (11, [], 1), (None, one, 1), (2, one, 1)]
