@@ -20,7 +20,8 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[int, str, int, str | None]]:
     """(doc_id, text, label, lang) of at most `rows` documents of each class outside the held-out fold, in the order of
-    a hash of their ids, and at most `chars` characters in all (then the first of each class in that order).
+    a hash of their ids, and at most `chars` characters in all: half for each class and what one leaves for both.  A text
+    that does not fit is passed over, the shorter ones after it are not.
 
     Ids are chosen from labels alone; only their texts travel, by a join with those 2 * rows ids.  Rows without an id or
     with another label than 0 or 1 are not used; of repeated ids one row is.
@@ -33,13 +34,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str =
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), lang.alias("l"))
     found = texts.join(F.broadcast(chosen.dropDuplicates(["i"])), "i").select("i", "t", "y", "l", F.length("t").alias("n"))
-    sizes = sorted({(r["i"], r["n"]) for r in found.select("i", "n").collect()}, key=lambda r: (hash_of(r[0]), r[0]))
+    sizes = {r["i"]: (r["y"], r["n"]) for r in found.groupBy("i", "y").agg(F.max("n").alias("n")).collect()}
+    order = sorted(sizes, key=lambda i: (hash_of(i), i))
     kept, total = set(), 0
-    for i, n in sizes:
-        total += n
-        if total > chars:
-            break
-        kept.add(i)
+    for classes, most in (((0,), chars // 2), ((1,), chars - chars // 2), ((0, 1), chars)):  # at last what a class has left over
+        used = total if len(classes) == 2 else 0
+        for i in order:
+            y, n = sizes[i]
+            if i not in kept and y in classes and used + n <= most:
+                kept.add(i)
+                used, total = used + n, total + n
     got = {r["i"]: (r["i"], r["t"], r["y"], r["l"]) for r in (found if len(kept) == len(sizes) else found.where(F.col("i").isin(list(kept)))).select("i", "t", "y", "l").collect()}
     return [got[i] for i in sorted(got, key=lambda i: (hash_of(i), i))]
 

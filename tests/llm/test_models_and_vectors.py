@@ -1,6 +1,7 @@
 """Vectors against brute force; classifiers by held-out accuracy; the pipeline stage by stage."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from sedge.llm.common import Scratch
 from sedge.llm.embedding_dedup import link_vectors
 from sedge.llm.graph import components
 from sedge.llm.quality import keep_good, score_quality
-from sedge.llm.supervised import held_out, labelled_sample
+from sedge.llm.supervised import hash_of, held_out, labelled_sample
 from sedge.llm.toxicity import score_toxicity
 
 
@@ -149,6 +150,17 @@ def test_no_model_sees_the_held_out_fold(spark, tables):
     assert sum(len(r[1]) for r in labelled_sample(docs, labels, "quality", chars=5000)) <= 5000
 
 
+def test_a_long_text_does_not_empty_the_sample(spark):
+    ids = [i for i in range(60) if not zlib.crc32(str(i).encode()) % 5 == 0]
+    first = min(ids, key=lambda i: (hash_of(i), i))
+    docs = spark.createDataFrame([(i, "x" * (100_000 if i == first else 10)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == first % 10)) for i in ids], "doc_id long, quality int")
+    used = labelled_sample(docs, labels, "quality", chars=10_000)
+    assert {r[0] for r in used} == set(ids) - {first} and {r[2] for r in used} == {0, 1}
+    used = labelled_sample(docs, labels, "quality", chars=60)
+    assert sorted(r[2] for r in used) == [0, 0, 0, 1, 1, 1]
+
+
 def test_attention_gradients():
     x, owner = quality.passages(["an er " * 90 + "TH!! on$$$", "a a a a", ""])
     model = quality.Attention.new(1)
