@@ -95,6 +95,32 @@ def test_join_of_odd_rows(spark):
     assert join_documents(frame(spark, rows).where("false"), Rule(buckets=1 << 16)).count() == 0
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_join_of_ids_with_several_texts(spark, turn):
+    """An id that repeats with two texts is one document with the links of both, in whatever order rows come."""
+    a, b = "one two three four five six seven eight nine ten", "k l m n o p q r s t u v"
+    rows = [(1, a), (1, b), (2, a), (3, b.upper()), (5, "x y z"), (5, None), (4, "x  y z"), (6, None)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in join_documents(frame(spark, rows[::turn]), Rule(buckets=1 << 16)).collect())
+    assert got == [(1, 8, 1), (1, 10, 1), (2, 8, 1), (3, 10, 1), (4, 1, 4), (5, 0, 4), (5, 1, 4), (6, 0, 6)]
+
+
+def test_join_needs_no_pairs_of_a_large_group(spark, monkeypatch):
+    """Near copies that link with few of their group: at most an edge a row leaves a task, and all links are found."""
+    from sedge.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r, rows = random.Random(5), []
+    base = words(r, 60, 10_000).split()
+    for n in range(150):
+        copy = list(base)
+        for at in r.sample(range(60), r.choice([1, 2, 2, 3])):
+            copy[at] = f"z{r.randrange(12)}"
+        rows.append((n, " ".join(copy)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in join_documents(frame(spark, rows), Rule(buckets=1 << 16)).collect()}
+    want = brute_components(rows, 3, 90, 100)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 140
+
+
 # ---- decontamination ------------------------------------------------------------------------------------------------
 
 
