@@ -362,26 +362,44 @@ def linked(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _sets(docs: DataFrame, members: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """members (doc, key, ...) with the whole sets of their texts, once each."""
+def _marks(members: DataFrame) -> np.ndarray:
+    """A bit for each remainder of the members' ids, eight times as many as members, 2^25 at most."""
+    size = 1 << min(25, max(16, int(members.count() * 8).bit_length()))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bits = np.zeros(size, np.uint8)
         for batch in it:
-            keys = batch.column("key").to_pylist()
-            for at in range(0, batch.num_rows, 200):
-                part, out = batch.slice(at, 200), []
-                for n, t in enumerate(texts_of(part)):
-                    if _key(t) == keys[at + n]:
-                        out.append((n, _shingles(t, rule.k).view(np.int64)))
-                if out:
-                    rows, sets = zip(*out, strict=True)
-                    kept = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([kept.column("doc"), kept.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "key", "grams"])
+            bits[batch.column("doc").to_numpy(zero_copy_only=False) % size] = 1
+        for r in packed_counts(TaskContext.get().partitionId(), bits):
+            yield pa.RecordBatch.from_pylist([r], pa.schema([("task", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]))
+
+    return summed_counts(members.select("doc").mapInArrow(mark, "task long, chunk int, counts binary"), size, lambda x: x > 0, bool)
+
 
-    wanted = members.select(F.col("doc").alias("member"), "key")
-    found = _rows(docs, text).join(wanted, F.col("doc") == F.col("member")).select("doc", "key", "text")
-    found = found.mapInArrow(run, "doc long, key binary, grams array<long>").dropDuplicates(["doc", "key"])
-    return found.join(members, ["doc", "key"])
+def _sets(docs: DataFrame, members: DataFrame, rule: Rule, scratch: Scratch, text: str) -> DataFrame:
+    """members (doc, key, ...) with the whole sets of their texts, once each, as a table.
+
+    A broadcast bit table of bounded size names the members to the scan, so few other sets are built and no text moves."""
+    marks = _marks(members)
+    size, named = len(marks), docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = named.value
+        for batch in it:
+            at = batch.column("doc").to_numpy(zero_copy_only=False) % size
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            for n in range(0, batch.num_rows, 200):
+                part = batch.slice(n, 200)
+                texts = texts_of(part)
+                keys, sets = [_key(t) for t in texts], [_shingles(t, rule.k).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc", "key", "grams"])
+
+    found = _rows(docs, text).where("doc is not null").mapInArrow(run, "doc long, key binary, grams array<long>").where("key is not null")
+    out = scratch.save(found.join(members, ["doc", "key"]).dropDuplicates(["doc", "key"]), "sets")
+    named.destroy()
+    return out
 
 
 def join_documents(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
@@ -400,10 +418,9 @@ def join_documents(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     both = scratch.save(classes(docs, rule, text), "classes")
-    codes = summed_counts(both.where("chunk is not null").select("task", "chunk", "counts"), rule.buckets, _encoded, np.uint16)
-    order = spark.sparkContext.broadcast(codes)
-    limit = int(max(BLOCK, 4 * _decoded(codes).mean()))
+    order = spark.sparkContext.broadcast(summed_counts(both.where("chunk is not null").select("task", "chunk", "counts"), rule.buckets, _encoded, np.uint16))
     rows = scratch.save(both.where("chunk is null").select("doc", "key", "n_shingles"), "rows")
+    limit = max(BLOCK, 4 * (rows.agg(F.sum("n_shingles")).first()[0] or 0) // rule.buckets)
     scratch.drop(both)
     scratch.tidy()
     named = rows.where("doc is not null")
@@ -420,7 +437,7 @@ def join_documents(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     members = scratch.save(reps.join(groups, F.col("doc") == F.col("node")).select("doc", "key", F.col("component").alias("sg"), "size"), "members")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).alias("blocks")
     members = members.join(members.groupBy("sg").agg(blocks), "sg")
-    links = linked(scratch.save(_sets(docs, members, rule, text), "sets"), rule, scratch)
+    links = linked(_sets(docs, members, rule, scratch, text), rule, scratch)
     # an id with several texts is one document: it joins its texts' classes
     several = named.groupBy("doc").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), F.count("key").alias("nk")).where("lo != hi or nk < n").select("doc")
     own = named.join(several, "doc").select(F.col("doc").alias("a"), "key").join(reps.select("key", F.col("doc").alias("b")), "key").select("a", "b")
