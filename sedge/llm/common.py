@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +75,37 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+_caches: dict[str, list[Callable[[], None]]] = {}
+_at_work: list[str] = []
+
+
+def caches(owner: str, clear: Callable[[], None]) -> None:
+    """Names a cache that a worker process keeps between tasks for an operator."""
+    _caches.setdefault(owner, []).append(clear)
+
+
+def working(owner: str) -> None:
+    """Called by an operator's tasks: when a worker process turns to another operator, the others' caches end and their
+    memory goes back, so a process that serves many operators holds the caches of one."""
+    if _at_work == [owner]:
+        return
+    _at_work[:] = [owner]
+    for name, clears in _caches.items():
+        if name != owner:
+            for clear in clears:
+                clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
 class WordHashes(dict):
     """Word (UTF-8 bytes) -> 64-bit hash.  A cache of at most `most` words; the rest are hashed each time."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 
@@ -94,10 +121,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@cache
+_words = WordHashes()
+caches("words", _words.clear)
+
+
 def word_hashes() -> WordHashes:
-    """A worker process's one cache, for all operators."""
-    return WordHashes()
+    """A worker process's one cache, for all operators on word hashes."""
+    working("words")
+    return _words
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -113,8 +144,6 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-
-
 # ---- count tables of a fixed size, added up over all tasks ----------------------------------------------------------
 
 COUNT_ROW = T.StructType([T.StructField("task", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])

@@ -14,8 +14,21 @@ from pyspark.sql import functions as F
 from sedge.llm.common import Scratch
 from sedge.llm.graph import components
 
-#: Production parameters.  In a pass, two vectors of one label meet if their ranks differ by at most WINDOW.
-PASSES, WINDOW, SEED = 12, 1024, 20_240_501
+#: In a pass, two vectors of one label meet if their ranks differ by at most WINDOW.  MISS is the share of pairs at the
+#: threshold that all passes together may miss in the largest label if its vectors are spread out; it sets their number.
+WINDOW, MISS, SEED = 1024, 0.001, 20_240_501
+#: Numbers in the vectors of one task's block, which is at least two windows long.
+BLOCK_NUMBERS = 1 << 22
+
+
+def passes_for(size: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
+    """Passes for a label of `size` vectors: one where a window holds it whole; else log2(size / window) one-bit hashes
+    bring a vector's neighbours down to a window, two vectors at the threshold's angle t agree in each with probability
+    1 - t / pi, and passes are independent."""
+    if size <= window + 1:
+        return 1
+    met = (1 - np.arccos(threshold) / np.pi) ** np.log2(size / window)
+    return int(np.ceil(np.log(miss) / np.log1p(-met)))
 
 
 @cache
@@ -24,29 +37,40 @@ def _planes(dim: int, passes: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, passes * 63))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision, scaled first so that no square over- or underflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """The vectors that can link, as they are, with a row number and their dimension."""
+    wrong = "x is null or isnan(x) or abs(x) = double('infinity')"
+    rows = rows.where(f"vec_id is not null and label is not null and v is not null and not exists(v, x -> {wrong}) and exists(v, x -> x != 0)")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.size("v").alias("dim"), "v")
+
+
 def _keyed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Comparable vectors, as unit vectors, with a row number, their dimension and one key for each pass: 63 one-bit hashes, the first the most significant."""
+    """A key for each vector and pass: 63 one-bit hashes, the first the most significant."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row, weight = TaskContext.get().partitionId() << 33, np.int64(1) << np.arange(62, -1, -1, dtype=np.int64)
+        weight = np.int64(1) << np.arange(62, -1, -1, dtype=np.int64)
         for batch in it:
-            ids, labels, cells = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("v")
-            out = []
-            for n in range(batch.num_rows):
-                x = np.array(cells[n].values.to_numpy(zero_copy_only=False), np.float64)
-                norm = np.sqrt(x @ x)
-                if 0 < norm < np.inf:
-                    bits = (x @ _planes(len(x), passes, seed) > 0).reshape(passes, 63)
-                    out.append((row, ids[n], labels[n], len(x), x / norm, bits @ weight))
-                row += 1
-            if out:
-                r, i, g, d, x, k = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(i, pa.int64()), pa.array(g, pa.string()), pa.array(d, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(k, pa.list_(pa.int64()))], ["row", "vec_id", "label", "dim", "v", "keys"])
-
-    usable = vectors.where("vec_id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    return usable.mapInArrow(run, "row long, vec_id long, label string, dim int, v array<double>, keys array<long>")
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            cells = batch.column("v")
+            flat, ends = cells.values.to_numpy(zero_copy_only=False), cells.offsets.to_numpy()
+            for dim in np.unique(dims):
+                every = np.flatnonzero(dims == dim)
+                for n in range(0, len(every), 1000):
+                    at = every[n : n + 1000]
+                    bits = _unit(flat[ends[at][:, None] + np.arange(dim)]) @ _planes(int(dim), passes, seed) > 0
+                    keys = bits.reshape(len(at), passes, 63) @ weight
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * passes, pa.int32()), pa.array(keys.ravel()))
+                    part = batch.select(["row", "vec_id", "label", "dim"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], ["row", "vec_id", "label", "dim", "keys"])
+
+    return vectors.select("row", "vec_id", "label", "dim", "v").mapInArrow(run, "row long, vec_id long, label string, dim int, keys array<long>")
 
 
 def _ranks(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,7 +109,7 @@ def _joined(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _copies(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows of equal label and direction as one: (vec_id, c rows, rep), and by rep vec_id the least id, m rows and own.
+    """Rows of equal label and vector as one: (vec_id, c rows, rep), and by rep vec_id the least id, m rows and own.
 
     Rows whose id other rows have too stay apart from the other ids' (own is their id, else null), as they do not link
     with each other.  Groups are pre-aggregated and joined on 128 bits of the vector, so a hot vector is no large task.
@@ -107,7 +131,7 @@ def _counted(reps: DataFrame, comps: DataFrame, threshold: float, block: int, sc
     large the component, or as many small components as make up about a block.
     """
     group = ["component", "label", "dim"]
-    mine = scratch.save(reps.join(comps, reps["vec_id"] == comps["node"]).drop("node", "keys"), "grouped")
+    mine = scratch.save(reps.join(comps, reps["vec_id"] == comps["node"]).drop("node"), "grouped")
     sizes = mine.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
     tasks = max(1, mine.count() // block)
     dealt = mine.join(sizes.select(*[F.col(x).alias(f"{x}2") for x in group], "size"), F.expr(" AND ".join(f"{x} = {x}2" for x in group)))
@@ -128,7 +152,7 @@ def _counted(reps: DataFrame, comps: DataFrame, threshold: float, block: int, sc
         flat, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
         total = np.zeros(len(ids), np.int64)
         for at in np.split(order, np.cumsum(np.bincount(kind))[:-1]):
-            x = np.stack([flat[ends[o] : ends[o + 1]] for o in at])
+            x = _unit(flat[ends[at][:, None] + np.arange(ends[at[0] + 1] - ends[at[0]])])
             for k in range(0, len(at), 128):
                 i, j = np.nonzero(x[k : k + 128] @ x.T >= threshold)
                 i, j = at[i + k], at[j]
@@ -141,66 +165,70 @@ def _counted(reps: DataFrame, comps: DataFrame, threshold: float, block: int, sc
     return found.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW, seed: int = SEED, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None, window: int = WINDOW, seed: int = SEED, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors.
 
     Each pass orders all vectors by label and concatenated random-hyperplane bits and compares each with the `window`
-    vectors after it: ranks are cut into blocks of `window`, and a task gets one block and the next, at most
-    2 * window rows however hot a label.  Equal directions of one label are one vector there, with a multiplicity.
-    Cosines are taken in double precision, links are pairs at `threshold` or above.  A task hands on one edge for each
-    linked row, and components are joined over those edges.  n_links is counted after that, exactly within each
-    component, by pairs of blocks of `window`, so it does not end at a window however large a group of near copies;
-    that costs the square of such a group's distinct vectors in comparisons.
+    vectors after it: ranks are cut into blocks of some windows (BLOCK_NUMBERS), and a task gets one block and the first
+    window of the next, however hot a label.  Equal vectors of one label are one there, with a multiplicity.  Vectors
+    travel as they are stored; cosines are taken in double precision, links are pairs at `threshold` or above.  A task
+    hands on one edge for each linked row, and components are joined over those edges.  n_links is counted after that,
+    exactly within each component, by pairs of blocks of `window`, so it does not end at a window however large a group
+    of near copies; that costs the square of such a group's distinct vectors in comparisons.
 
-    Labels with at most window + 1 vectors are compared completely.  In a larger one a pair at angle t is met in a pass
-    if the b bits that narrow the label to a window agree, with probability about (1 - t / pi) ** b; the passes are
-    independent, so misses fall with their number (tests measure recall against brute force).
+    Labels with at most window + 1 vectors are compared completely.  The number of passes grows with the largest label
+    (passes_for) unless given; a pair is missed if no pass brings it within a window and no chain of other links joins
+    its ends.  Tests and README measure the recall against brute force.
 
     A null, zero or empty vector, one with null or non-finite components, a null label or a null id links with nothing:
-    n_links 0, component_id its own id (null for a null id), kept true (null for a null id).  Vectors of different
-    dimensions never link.  Rows that repeat an id are compared with other ids only; their links are added up.
+    n_links 0, component_id its own id (null for a null id), kept true (null for a null id).  Finite components of any
+    size are compared.  Vectors of different dimensions never link.  Rows that repeat an id are compared with other ids
+    only; their links are added up.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
-    keyed = scratch.save(_keyed(rows, passes, seed), "keyed")
-    members, reps = _copies(keyed, scratch)
-    reps = scratch.save(reps.join(keyed.drop("vec_id"), reps["rep"] == keyed["row"]), "vectors")
-    scratch.drop(keyed)
-    ranks = _ranks(reps, scratch).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    ready = reps.select("row", "vec_id", "label", "dim", "v").join(ranks, "row")
-    cells = F.expr(f"flatten(transform(ranks, (r, p) -> array(struct(p AS pass, r div {window}L AS block, 0 AS side), struct(p AS pass, r div {window}L - 1 AS block, 1 AS side))))")
+    kind = vectors.schema[embedding].dataType.simpleString()
+    v = F.col(embedding) if kind in ("array<float>", "array<double>") else F.col(embedding).cast("array<double>")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), F.col(label).cast("string").alias("label"))
+    usable = scratch.save(_usable(rows), "usable")
+    members, reps = _copies(usable, scratch)
+    reps = scratch.save(reps.join(usable.drop("vec_id"), reps["rep"] == usable["row"]), "vectors")
+    scratch.drop(usable)
+    most = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n"), F.max("dim")).first()
+    if passes is None:
+        passes = passes_for(most[0] or 0, threshold, window)
+    span = window * max(2, min(8, BLOCK_NUMBERS // (window * (most[1] or 1))))
+    ranks = _ranks(scratch.save(_keyed(reps, passes, seed), "keys"), scratch)
+    ranks = ranks.groupBy("row").agg(F.collect_list(F.struct("pass", "rank")).alias("ranks"))
+    # a block's rows, and behind them the first window of the next block
+    cells = F.expr(f"flatten(transform(ranks, r -> filter(array(struct(r.pass, r.rank, r.rank div {span}L AS block, 0 AS side), struct(r.pass, r.rank, r.rank div {span}L - 1 AS block, 1 AS side)), c -> c.side = 0 OR r.rank % {span}L < {window}L)))")
 
     def block(group: pa.Table) -> pa.Table:
-        p = group.column("pass")[0].as_py()
-        rank = np.array(group.column("ranks").to_pylist(), np.int64)
-        order = np.argsort(rank[:, p])
-        rank = rank[order]
-        side = group.column("side").to_numpy()[order]
-        ids = group.column("vec_id").to_numpy()[order]
-        kinds = list(zip(group.column("label").to_pylist(), group.column("dim").to_pylist(), strict=True))
+        rank, side, ids, dims = (group.column(c).to_numpy() for c in ("rank", "side", "vec_id", "dim"))
+        kinds = list(zip(group.column("label").to_pylist(), dims, strict=True))
         number = {k: n for n, k in enumerate(dict.fromkeys(kinds))}
-        kind = np.array([number[k] for k in kinds])[order]
+        kind = np.array([number[k] for k in kinds])
+        order = np.lexsort((rank, kind))
         cells = group.column("v").combine_chunks()
         flat, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
         comp = np.arange(len(ids))
-        for g in range(len(number)):
-            at = np.flatnonzero(kind == g)
-            left = at[side[at] == 0]
-            x = np.stack([flat[ends[o] : ends[o + 1]] for o in order[at]])
-            for k in range(0, len(left), 128):
-                i, j = np.nonzero(x[k : min(k + 128, len(left))] @ x.T >= threshold)  # left rows come first in at
-                i, j = left[i + k], at[j]
-                ok = (rank[j, p] > rank[i, p]) & (rank[j, p] - rank[i, p] <= window) & (ids[i] != ids[j])
-                i, j = i[ok], j[ok]
-                if len(i):
-                    comp = _joined(comp, i, j)
+        for at in np.split(order, np.cumsum(np.bincount(kind))[:-1]):
+            left, columns = int((side[at] == 0).sum()), np.arange(dims[at[0]])
+            for k in range(0, left, 256):
+                here = at[k : k + 256 + window]
+                x = _unit(flat[ends[here][:, None] + columns])
+                i, j = np.nonzero(x[: min(256, left - k)] @ x.T >= threshold)
+                i, j = here[i], here[j]
+                ok = (rank[j] > rank[i]) & (rank[j] - rank[i] <= window) & (ids[i] != ids[j])
+                if ok.any():
+                    comp = _joined(comp, i[ok], j[ok])
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, comp, ids)
         root = least[comp]
         out = root != ids
         return pa.table({"vec_id": ids[out], "root": root[out]})
 
-    seen = ready.withColumn("c", F.explode(cells)).select("vec_id", "label", "dim", "v", "ranks", "c.*").groupBy("pass", "block").applyInArrow(block, "vec_id long, root long")
+    ready = reps.select("row", "vec_id", "label", "dim", "v").join(ranks, "row").withColumn("c", F.explode(cells))
+    seen = ready.select("vec_id", "label", "dim", "v", "c.*").groupBy("pass", "block").applyInArrow(block, "vec_id long, root long")
     comps = scratch.save(components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch), "components")
     linked = scratch.save(_counted(reps, comps, threshold, window, scratch), "links")
     # a rep's rows under ids of their own also link with each other
@@ -211,3 +239,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = PASS
     out = rows.select("vec_id").join(found, F.col("vec_id") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same in DuckDB, by all pairs of a label.
+LINK_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+c AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+r AS (SELECT a AS vec_id, min(b) AS component_id FROM c GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN r USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedge.llm.common import caches, working
 from sedge.llm.supervised import Adam, labelled_sample, minibatches, scored, sigmoid
 
 #: Words of a passage, its feature buckets (word shapes, words, two for repeats), units of the encoder and of attention.
@@ -31,12 +32,13 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         h = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
         code = zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES << 48 | h % WORDS << 40 | h
-        if len(self) < 250_000:
+        if len(self) < 120_000:
             self[word] = code
         return code
 
 
 _codes = _Codes()
+caches("quality", _codes.clear)
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,7 @@ class Attention:
         return {"W": x.T @ dh + 1e-5 * p["W"], "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ da, "o": f["z"].T @ d + 1e-4 * p["o"], "c": d.sum(keepdims=True)}
 
     def score(self, texts: list[str]) -> np.ndarray:
+        working("quality")
         if not texts:
             return np.zeros(0)
         return self.forward(*passages(texts))["y"]

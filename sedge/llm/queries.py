@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import Scratch, table
 from sedge.llm.decontaminate import FIND_SQL, find_items
-from sedge.llm.embedding_dedup import link_vectors
+from sedge.llm.embedding_dedup import LINK_SQL, link_vectors
 from sedge.llm.line_dedup import DEDUP_SQL, WHOLE_SQL, dedup_lines
 from sedge.llm.mixing import MIX_SQL, mix
-from sedge.llm.ngram_join import Rule, join_documents
+from sedge.llm.ngram_join import JOIN_SQL, Rule, join_documents
 from sedge.llm.pii import find_pii
 from sedge.llm.quality import score_quality
 from sedge.llm.token_counts import count_tokens
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": FIND_SQL, "op4_line_dedup": DEDUP_SQL, "op4_line_dedup_whole": WHOLE_SQL, "op7_mixing": MIX_SQL}
+    return {"op1_embedding_dedup": LINK_SQL, "op2_decontaminate": FIND_SQL, "op4_line_dedup": DEDUP_SQL, "op4_line_dedup_whole": WHOLE_SQL, "op7_mixing": MIX_SQL, "op9_ngram_join": JOIN_SQL}

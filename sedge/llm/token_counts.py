@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import texts_of
+from sedge.llm.common import caches, texts_of, working
 
 #: Entries of the broadcast table, and of each task's summary of frequent pre-tokens.
 TABLE, SUMMARY = 32_768, 8_192
 #: Entries of a worker's own cache; when full it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 _SUMMARIES = "part long, words array<string>, counts array<long>"
 
 
@@ -93,8 +93,7 @@ class PieceCounter:
         lengths = [shared.get(w) or own.get(w) for w in words]
         if None in lengths:
             self.learn(list({w for w, n in zip(words, lengths, strict=True) if n is None}))
-            own = self.own
-            lengths = [n or own.get(w) or shared[w] for w, n in zip(words, lengths, strict=True)]
+            lengths = [own.get(w, 0) if n is None else n for w, n in zip(words, lengths, strict=True)]
         return sum(lengths)
 
 
@@ -173,10 +172,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 40
 
 
 _held: dict = {}
+caches("token counts", _held.clear)
 
 
 def _counter(path: str, key: str, shared: dict[str, int]) -> PieceCounter:
     """One counter for a worker process and broadcast, so that its cache outlives a task."""
+    working("token counts")
     at = (path, key)
     if at not in _held:
         _held.clear()

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedge.llm.common import texts_of
+from sedge.llm.common import caches, texts_of, working
 
 #: Pre-tokens a worker keeps; when full the cache starts anew.
-CACHE = 600_000
+CACHE = 200_000
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 #: The file format: row groups of 16 MB, pages of 256 kB or 4,000 rows, both with column and offset indexes (which
 #: Spark's writer always adds); token ids by dictionary, the ascending columns as deltas.
@@ -93,10 +93,19 @@ class TokenEncoder:
 
 
 @cache
-def _encoder(path: str) -> TokenEncoder:
+def _kept(path: str) -> TokenEncoder:
     return TokenEncoder(path)
 
 
+caches("token files", _kept.cache_clear)
+
+
+def _encoder(path: str) -> TokenEncoder:
+    """One encoder for a worker process, so that its cache outlives a task."""
+    working("token files")
+    return _kept(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, partitions: int | None = None) -> None:
     """Writes docs (doc_id, text) as token files in ascending doc_id order (null first, ties by text).
 

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedge.llm.common import working
 from sedge.llm.supervised import labelled_sample, minibatches, scored, sigmoid
 
 #: Hash space of the embeddings, their size, filter widths and filters of each width.
@@ -66,6 +67,7 @@ class Convolution:
         self._known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def score(self, texts: list[str]) -> np.ndarray:
+        working("toxicity")
         out = np.zeros(len(texts))
         for n, t in enumerate(texts):
             words = _WORD.findall(t.lower())

@@ -81,6 +81,29 @@ def test_odd_vectors(spark):
     assert link_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    """Components whose squares would over- or underflow are finite, and compared."""
+    rows = [(1, [1.0, 2.0], 1), (2, [1e200, 2e200], 1), (3, [1e-200, 2e-200], 1), (4, [-1e300, 1e300], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_recall_beyond_a_window(spark):
+    """Production parameters on a label six windows large, with pairs planted just above the threshold."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.standard_normal((400, 24))
+    z -= (z * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    t = r.uniform(0.931, 0.95, (400, 1))
+    y = t * x[:400] + np.sqrt(1 - t * t) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    every = np.concatenate([x, y]).astype(np.float32)
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = {g["vec_id"]: g["n_links"] for g in link_vectors(spark.createDataFrame([(n, e.tolist(), 3) for n, e in enumerate(every)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[n] <= links[n] for n in got) and sum(got.values()) >= 0.99 * links.sum() >= 700
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(n, n + 1) for n in range(1000, 1060)] + [(5000, n) for n in range(5001, 5200)] + [(7, 7), (None, 3)]
