@@ -160,6 +160,7 @@ class Query:
 
     def _marked(self) -> DataFrame:
         """The entity's whole raw table with whether this query's conditions hold (null counts as not)."""
+        self._only_conditions()
         binder = self.workspace.binder()
         spec = self.spec
         scope = binder.scope(binder.model.entity(spec.entity))
@@ -168,6 +169,12 @@ class Query:
         hit = F.coalesce(binder.condition(scope, conjunction(nodes)), F.lit(False))
         return scope.frame.select(*(scope.column(c).alias(c) for c in scope.own.names), hit.alias("\0hit"))
 
+    def _only_conditions(self) -> None:
+        """Whole tables change by conditions alone; any other step would change rows that the query does not give."""
+        s = self.spec
+        if s.skip is not None or s.take is not None or s.distinct or s.project is not None:
+            raise TranslationError("update and delete need a query of conditions alone: no skip, take, distinct or select")
+
     def remaining_df(self) -> DataFrame:
         """The table without the rows that match: what deleting them leaves."""
         return self._marked().where(~F.col("`\0hit`")).drop("\0hit")
@@ -185,7 +192,11 @@ class Query:
         return df.select(*(F.when(F.col("`\0hit`"), stored[c].cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in stored else F.col(f"`{c}`") for c in df.columns if c != "\0hit"))
 
     def delete(self) -> int:
-        """Deletes the matching rows in the store, without tracking; gives their number."""
+        """Deletes the matching rows in the store, without tracking; gives their number.
+
+        Rows that point to them stay as they are, and plugins are not asked: for delete behaviours and soft deletes
+        remove the objects and save."""
+        self._only_conditions()
         n = self.count()
         if n:
             self.workspace.tables.replace(self.workspace.model.entity(self.spec.entity), self.remaining_df())
@@ -193,6 +204,7 @@ class Query:
 
     def update(self, values: dict[str, Any]) -> int:
         """Sets properties of the matching rows in the store, without tracking; gives their number."""
+        self._only_conditions()
         n = self.count()
         if n:
             self.workspace.tables.replace(self.workspace.model.entity(self.spec.entity), self.updated_df(values))
@@ -223,6 +235,9 @@ class RawQuery(SortedQuery):
     def _with(self, kind: type | None = None, cursor: tuple[str, ...] | None = None, **changes) -> Any:
         return super()._with(None, cursor, **changes)
 
+    def _only_conditions(self) -> None:
+        raise TranslationError("update and delete cannot follow SQL text")
+
     def _binder(self):
         binder = self.workspace.binder()
         read, name = binder.read, self.spec.entity

@@ -241,3 +241,14 @@ def test_random_predicates_equal_duckdb(spark):
     assert got == c.execute(f"SELECT id, {', '.join(s for _, s in trees)} FROM t ORDER BY id").fetchall()
     assert w.binder().bind(Spec("Row", where=(trees[0][0],))).count() == sum(x[1] is True for x in got)
     assert isinstance(frame.first(), Row)
+
+
+def test_whole_tables_change_by_conditions_alone(w, spark, tables):
+    """Steps that a whole-table change cannot mind are refused, before any row is lost."""
+    users = w.set("User")
+    raw = users.from_sql("SELECT * FROM {t} WHERE id = 1", {"t": tables.frames["users"]})
+    for q in (raw, raw.where(lambda u: u.age > 1), users.take(1), users.skip(1), users.select(lambda u: {"n": u.name}), users.select(lambda u: {"n": u.name}).distinct()):
+        for change in (q.remaining_df, lambda q=q: q.updated_df({"age": 1}), q.delete, lambda q=q: q.update({"age": 1})):
+            with pytest.raises(TranslationError):
+                change()
+    assert users.where(lambda u: u.age > 20).remaining_df().count() == 2
