@@ -58,7 +58,7 @@ class Scratch:
 
     def tidy(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished jobs now, not when the driver next collects garbage."""
-        gc.collect()
+        release()
         self.spark._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
@@ -94,6 +94,11 @@ def working(owner: str) -> None:
         if name != owner:
             for clear in clears:
                 clear()
+    release()
+
+
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

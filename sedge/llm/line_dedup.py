@@ -21,17 +21,21 @@ def _packed(i: str, j: str) -> Column:
     return F.shiftleft(F.col(i).cast("long"), 32).bitwiseOR(F.col(j).cast("long"))
 
 
-def windows(docs: DataFrame, min_words: int, text: str, whole: bool = False) -> DataFrame:
-    """One row for each shortest run of lines that starts at a line with words and holds min_words of them: document
-    (d, h), first and last line, the smallest line hash f inside and a 128-bit key of all its lines.
+def windows(docs: DataFrame, min_words: int, text: str) -> DataFrame:
+    """Winnowing: every shortest run of lines that holds min_words words and starts, or ends, at a line with words, as
+    document (d, h), first and last line i, j, its fingerprint f, and what is around the fingerprint.
 
-    Lines leave their document as hashes; one shuffle brings a document's lines together, and grouping, ordering and
-    both windows reuse it.  A run's end is the first line whose running word count reaches that before the run plus
-    min_words, found by one pass over ends and starts merged in falling order.
+    The fingerprint is the least line hash of the window (the first of equals) at its position q; as any run of
+    min_words words or more holds a window, it holds a selected fingerprint.  `left` and `right` are hashes of the
+    window's lines up to q and from q on.  Each line of min_words words before one without words, up to the next line
+    with words, is a window too: then any run of min_words words or more that starts and ends with words is the union
+    of the windows inside it.
 
-    With `whole`, also the shortest such run that ends at each line with words, by the mirrored pass, and each line of
-    min_words words before one without words, up to the next line with words.  Any run of min_words words or more that
-    starts and ends with words is then the union of the windows inside it.
+    Lines leave their document as hashes; one shuffle brings a document's lines together, and grouping, ordering and
+    both window functions reuse it.  A window's end is the first line whose running word count reaches that before the
+    window plus min_words, found by one pass over ends and starts merged in falling order, its start by the mirrored
+    pass.  Slices are cut before windows become rows, so a document costs its windows' lines, not their number times
+    its length.
     """
     rows = _keys(docs, F.coalesce(F.col(text), F.lit("")))
     lines = rows.select("d", "h", F.posexplode(F.split("t", "\n", -1)).alias("i", "line"))
@@ -39,69 +43,63 @@ def windows(docs: DataFrame, min_words: int, text: str, whole: bool = False) ->
     lines = lines.repartition("d", "h").groupBy("d", "h", "i").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("w").alias("w"))
     of_doc = Window.partitionBy("d", "h")
     lines = lines.withColumn("upto", F.sum("w").over(of_doc.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("bare", F.lead("w").over(of_doc.orderBy("i")) == 0)
     marks = F.array(F.struct(F.col("upto").alias("v"), F.lit(True).alias("end")), F.struct((F.col("upto") - F.col("w") + min_words).alias("v"), F.lit(False).alias("end")))
-    if whole:
-        lines = lines.withColumn("bare", F.lead("w").over(of_doc.orderBy("i")) == 0)
-        further = F.array(F.struct((F.col("upto") + 1).alias("v"), F.lit(False).alias("end")))
-        marks = F.when(F.col("bare") & (F.col("w") >= min_words), F.concat(marks, further)).otherwise(marks)
+    further = F.array(F.struct((F.col("upto") + 1).alias("v"), F.lit(False).alias("end")))
+    marks = F.when(F.col("bare") & (F.col("w") >= min_words), F.concat(marks, further)).otherwise(marks)
     marks = F.when(F.col("w") > 0, marks).otherwise(F.array(F.struct(F.lit(-1).cast("long").alias("v"), F.lit(True).alias("end"))))
     both = lines.withColumn("m", F.explode(marks))
-    ends = F.min(F.when(F.col("m.end") & (F.col("m.v") >= 0), F.col("i"))).over(of_doc.orderBy(F.desc("m.v")).rangeBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("j", ends)
-    if whole:
-        both = both.withColumn("s", F.max(F.when(~F.col("m.end"), F.col("i"))).over(of_doc.orderBy("m.v").rangeBetween(Window.unboundedPreceding, 0)))
-        run = F.when(~F.col("m.end"), _packed("i", "j")).when(F.col("m.v") >= 0, _packed("s", "i"))
-        runs = F.transform(F.collect_set(run), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("i"), x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("j")))
-    else:
-        runs = F.collect_list(F.when(~F.col("m.end") & F.col("j").isNotNull(), F.struct("i", "j")))
-    of_docs = both.groupBy("d", "h").agg(
-        F.array_sort(F.collect_list(F.when(F.col("m.end"), F.struct("i", "a", "b", F.col("w").alias("w"))))).alias("l"),
-        runs.alias("runs"),
-    )
-    arrays = of_docs.select("d", "h", F.transform("l", lambda x: F.when(x["w"] > 0, x["a"]).otherwise(F.lit(_NONE))).alias("s"), F.transform("l", lambda x: x["a"]).alias("a"), F.transform("l", lambda x: x["b"]).alias("b"), F.explode("runs").alias("r"))
-    cut = lambda c: F.slice(F.col(c), F.col("r.i") + 1, F.col("r.j") - F.col("r.i") + 1)
-    return arrays.select("d", "h", F.col("r.i").alias("i"), F.col("r.j").alias("j"), F.array_min(cut("s")).alias("f"), F.xxhash64(cut("a")).alias("k1"), F.xxhash64(F.lit("2"), cut("b")).alias("k2"))
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", scratch: Scratch | None = None, whole: bool = False) -> DataFrame:
-    """(d, h, dropped): for each document with any, the line numbers to drop.
-
-    Winnowing: the smallest line hash of every window is its fingerprint.  Equal windows have equal fingerprints, so a
-    window whose fingerprint no other position holds is unique and goes out of the running; the others are extended
-    from the fingerprint to both sides over their whole window and compared by its key.  All but the first occurrence
-    (by document, then line) of a key are repeats; overlapping repeats add up, with `whole` to the longest repeated run,
-    else up to the end of its last window.  Groups are counted and led by pre-aggregated groupBys; the two joins are equi-joins with tables unique in their key.
+    both = both.withColumn("j", F.min(F.when(F.col("m.end") & (F.col("m.v") >= 0), F.col("i"))).over(of_doc.orderBy(F.desc("m.v")).rangeBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("s", F.max(F.when(~F.col("m.end"), F.col("i"))).over(of_doc.orderBy("m.v").rangeBetween(Window.unboundedPreceding, 0)))
+    run = F.when(~F.col("m.end"), _packed("i", "j")).when(F.col("m.v") >= 0, _packed("s", "i"))
+    of_docs = both.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.when(F.col("m.end"), F.struct("i", "a", "b", F.col("w").alias("w"))))).alias("l"), F.collect_set(run).alias("runs"))
+    of_docs = of_docs.where(F.size("runs") > 0)
+    least = F.transform("l", lambda x: F.struct(F.when(x["w"] > 0, x["a"]).otherwise(F.lit(_NONE)).alias("f"), x["i"].alias("q")))
+    arrays = of_docs.select("d", "h", "runs", least.alias("s"), F.transform("l", lambda x: x["a"]).alias("a"), F.transform("l", lambda x: x["b"]).alias("b"))
+    at = "transform(runs, r -> struct(CAST(shiftright(r, 32) AS INT) AS i, CAST(r & 4294967295 AS INT) AS j))"
+    at = f"transform({at}, r -> struct(r.i AS i, r.j AS j, array_min(slice(s, r.i + 1, r.j - r.i + 1)) AS x))"
+    at = f"transform({at}, r -> struct(r.i AS i, r.j AS j, r.x.f AS f, xxhash64(slice(a, r.i + 1, r.x.q - r.i + 1)) AS left, xxhash64(slice(b, r.x.q + 1, r.j - r.x.q + 1)) AS right))"
+    return arrays.select("d", "h", F.explode(F.expr(at)).alias("r")).select("d", "h", "r.*")
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(d, h, dropped): for each document with any, the sorted line numbers to drop.
+
+    Positions meet by fingerprint: a window whose fingerprint has no other position is unique and leaves.  From a shared
+    fingerprint a match is extended both ways over the lines of its window: those with the same fingerprint and the same
+    lines to its left and right are one repeat.  All but the first occurrence (by document, then line) are dropped;
+    overlapping windows add up to the longest repeated run.  Groups are counted and led by pre-aggregated groupBys; the
+    joins are equi-joins with tables unique in their key, which AQE splits where a fingerprint is frequent.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    runs = scratch.save(windows(docs, min_words, text, whole), "windows")
-    shared = runs.groupBy("f").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "i", "k1", "k2")).alias("x"), F.max(F.struct("d", "h", "i", "k1", "k2")).alias("y")).where("n > 1 and x != y").select("f")
-    matched = runs.join(shared, "f", "left_semi")
-    first = matched.groupBy("k1", "k2").agg(F.min(F.struct("d", "h", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first")
-    later = matched.join(first, ["k1", "k2"]).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
-    return later.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", "j")))).alias("dropped"))
+    runs = scratch.save(windows(docs, min_words, text), "windows")
+    shared = runs.groupBy("f").agg(F.min(F.struct("d", "h", "i", "j")).alias("x"), F.max(F.struct("d", "h", "i", "j")).alias("y")).where("x != y").select("f")
+    met = runs.join(shared, "f", "left_semi")
+    first = met.groupBy("f", "left", "right").agg(F.min(F.struct("d", "h", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = met.join(first, ["f", "left", "right"]).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
+    return later.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", "j"))))).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the cleaned text for every row of docs.
 
-    With `whole`, a line goes if it lies in a run of consecutive lines, the first and last with words, that holds
-    min_words words or more and occurs earlier, in a document with a smaller id (null smallest, ties by a hash of the
-    text) or further up in the same one; the first occurrence stays.  Without, as DEDUP_SQL has it, only runs that no
-    shorter one with the same start could stand for count: the last lines of a repeat stay where fewer than min_words
-    words are left of it.  An earlier occurrence may overlap the later one, so of one line repeated many times over its first copy stays.  A null text counts as one empty line and comes back empty; short documents and empty tables pass unchanged;
-    rows equal in id and text are one document and come back alike.  Very long texts cost one array of line hashes.
-    Extra columns are ignored.
+    A line goes if it lies in a run of consecutive lines, the first and last with words, that holds min_words words or
+    more and occurs earlier, in a document with a smaller id (null smallest, ties by a hash of the text) or further up in
+    the same one; the first occurrence stays.  An earlier occurrence may overlap the later one, so of one line repeated
+    many times over its first copy stays.  A null text counts as one empty line and comes back empty; short documents
+    and empty tables pass unchanged; rows equal in id and text are one document and come back alike.  A text costs its
+    lines and its windows' lines, however long it is.  Extra columns are ignored.
     """
-    found = repeats(docs, min_words, text, whole=whole).withColumnsRenamed({"d": "d2", "h": "h2"})
+    found = repeats(docs, min_words, text).withColumnsRenamed({"d": "d2", "h": "h2"})
     rows = _keys(docs, F.coalesce(F.col(text), F.lit("")))
     both = rows.join(found, rows["d"].eqNullSafe(found["d2"]) & (rows["h"] == found["h2"]), "left")
-    lines, dropped = F.split("t", "\n", -1), F.coalesce("dropped", F.array().cast("array<int>"))
-    marked = F.map_from_arrays(dropped, F.transform(dropped, lambda _: F.lit(True)))
-    kept = F.when(F.size(dropped) == 0, F.col("t")).otherwise(F.array_join(F.filter("line", lambda x, i: F.coalesce(F.element_at(F.col("gone"), i), F.lit(False)) == F.lit(False)), "\n"))
-    return both.withColumn("line", lines).withColumn("gone", marked).select(F.col("d").alias("doc_id"), F.size("line").cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), kept.alias("text"))
+    both = both.withColumn("line", F.split("t", "\n", -1)).withColumn("gone", F.coalesce("dropped", F.array().cast("array<int>")))
+    both = both.withColumn("ends", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("line"))))
+    kept = F.expr("array_join(flatten(transform(sequence(0, size(gone)), k -> slice(line, ends[k] + 2, ends[k + 1] - ends[k] - 1))), '\n')")
+    return both.select(F.col("d").alias("doc_id"), F.size("line").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") == 0, F.col("t")).otherwise(kept).alias("text"))
 
 
-#: The same in DuckDB, from every window's lines themselves; without `whole`.
+#: The same in DuckDB, from every window's lines themselves.
 DEDUP_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM t),
@@ -109,21 +107,6 @@ w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
 e AS (SELECT doc_id, i, upto FROM c WHERE w > 0),
 r AS (SELECT s.doc_id, s.i, e.i AS j FROM (SELECT doc_id, i, upto - w + 50 AS need FROM c WHERE w > 0) s ASOF JOIN e ON s.doc_id = e.doc_id AND s.need <= e.upto),
-k AS (SELECT r.doc_id, r.i, r.j, array_to_string(t.lines[r.i:r.j], chr(10)) AS run FROM r JOIN t USING (doc_id)),
-n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM k),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM n WHERE nth > 1)
-SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(g.i)::BIGINT AS n_dropped, coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS text
-FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
-"""
-
-#: With `whole`.
-WHOLE_SQL = r"""
-WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM t),
-w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
-c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
-e AS (SELECT doc_id, i, upto FROM c WHERE w > 0),
-r AS (SELECT s.doc_id, s.i, e.i AS j FROM (SELECT doc_id, i, upto - w + 50 AS need FROM c WHERE w > 0) s ASOF JOIN e ON s.doc_id = e.doc_id AND s.need <= e.upto),
 x AS (
   SELECT * FROM r
   UNION SELECT e.doc_id, s.i, e.i FROM (SELECT *, upto - 50 AS have FROM e) e ASOF JOIN (SELECT doc_id, i, upto - w AS before FROM c WHERE w > 0) s ON e.doc_id = s.doc_id AND e.have >= s.before

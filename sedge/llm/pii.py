@@ -28,6 +28,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOT = re.compile(r"[0-9@]")
 _BLANKS = " \t\n\x0b\x0c\r"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_AFTER = re.compile(r" *([^ \n]*)")
 
 
 def luhn(digits: str) -> bool:
@@ -81,9 +82,9 @@ def as_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def shape(token: str) -> str:
-    """Digit runs as their length (9 at most), letter runs as x, others as they are; ends of junk cut off."""
-    t = re.sub(r"[0-9]+", lambda m: str(min(9, len(m[0]))), re.sub(r"[^\W\d_]+", "x", token[:64]))
-    return re.sub(r"(.)\1+", lambda m: m[1] if not m[1].isdigit() else m[0], t)[:24]
+    """Digit runs as their length (9 at most), letter runs as x, others as they are, repeats once."""
+    t = re.sub(r"[0-9]+", lambda m: str(min(9, len(m[0]))), re.sub(r"[^\W\d_]+", "x", token))
+    return re.sub(r"(.)\1+", lambda m: m[1] if not m[1].isdigit() else m[0], t)
 
 
 def features(token: str) -> list[str]:
@@ -160,9 +161,13 @@ def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str, str]]:
 
 
 def _placed(text: str, run: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], str, str]:
-    before = text[max(0, run[0][0] - 40) : run[0][0]].rsplit("\n", 1)[-1].split(" ")
-    after = text[run[-1][1] : run[-1][1] + 40].split("\n", 1)[0].split(" ")
-    return run, next((w for w in reversed(before) if w), ""), next((w for w in after if w), "")
+    start, end = run[0][0], run[-1][1]
+    while start > 0 and text[start - 1] == " ":
+        start -= 1
+    at = start
+    while at > 0 and text[at - 1] not in " \n":
+        at -= 1
+    return run, text[at:start], _AFTER.match(text, end)[1]
 
 
 class Field:

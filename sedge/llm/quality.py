@@ -7,10 +7,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import caches, working
+from sedge.llm.common import caches, release, working
 from sedge.llm.supervised import Adam, labelled_sample, minibatches, scored, sigmoid
 
 #: Words of a passage, its feature buckets (word shapes, words, two for repeats), units of the encoder and of attention.
@@ -23,7 +24,7 @@ def _shape(word: str) -> str:
     """Runs of lower-case letters, capitals and digits as one sign each, other characters as they are, runs of one cut to two."""
     for sign, pattern in _CLASSES:
         word = pattern.sub(lambda m, s=sign: (s + s if len(m[0]) > 1 else s) if s != "a" else s, word)
-    return re.sub(r"(.)\1{2,}", r"\1\1", word)[:12]
+    return re.sub(r"(.)\1{2,}", r"\1\1", word)
 
 
 class _Codes(dict):
@@ -115,17 +116,23 @@ def train(sample: list[tuple], epochs: int = 25, rate: float = 0.01, seed: int =
     y = np.array([r[2] for r in sample], float)
     if not len(y) or y.min() == y.max():
         return model
-    bags = [passages([r[1]])[0] for r in sample]
+    bags = [passages([r[1]])[0].astype(np.float32) for r in sample]
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     adam = Adam(model.p, rate)
     epochs = max(epochs, min(200, 20_000 // len(y)))
     for rows in minibatches(len(y), 64, epochs, seed):
-        x = np.concatenate([bags[i] for i in rows])
+        x = np.concatenate([bags[i] for i in rows]).astype(np.float64)
         owner = np.repeat(np.arange(len(rows)), [len(bags[i]) for i in rows])
         adam.step(model.gradients(x, owner, y[rows], weight[rows]))
     return model
 
 
+def _model(docs: DataFrame, labels: DataFrame, label: str, text: str) -> Broadcast:
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, label, text)))
+    release()
+    return model
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= cut) for every row of docs.
 
@@ -134,13 +141,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", cu
     A null or empty text is one passage without words and gets a score too.  Without labels of both kinds scores are
     those of an untrained model.  Repeated rows score alike; extra columns are ignored but for `keep`.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, label, text)))
+    model = _model(docs, labels, label, text)
     return scored(docs, lambda texts: model.value.score(texts), cut, text, keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns; needs one map, no join."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, label, text)))
+    model = _model(docs, labels, label, text)
     names = {c: f"c{n}" for n, c in enumerate(docs.columns)}
     rows = docs.withColumnsRenamed(names).withColumn("doc_id", F.lit(None).cast("long"))
     out = scored(rows, lambda texts: model.value.score(texts), cut, names[text], list(names.values()))

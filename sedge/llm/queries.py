@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedge.llm.common import Scratch, table
 from sedge.llm.decontaminate import FIND_SQL, find_items
 from sedge.llm.embedding_dedup import LINK_SQL, link_vectors
-from sedge.llm.line_dedup import DEDUP_SQL, WHOLE_SQL, dedup_lines
+from sedge.llm.line_dedup import DEDUP_SQL, dedup_lines
 from sedge.llm.mixing import MIX_SQL, mix
 from sedge.llm.ngram_join import JOIN_SQL, Rule, join_documents
 from sedge.llm.pii import find_pii
@@ -45,10 +45,6 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
 
 
-def op4_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), min_words=50, whole=True)
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
 
@@ -75,8 +71,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op4_line_dedup_whole, op5_quality, op6_toxicity, op7_mixing, op8_pii, op9_ngram_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_decontaminate, op3_token_files, op4_line_dedup, op5_quality, op6_toxicity, op7_mixing, op8_pii, op9_ngram_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": LINK_SQL, "op2_decontaminate": FIND_SQL, "op4_line_dedup": DEDUP_SQL, "op4_line_dedup_whole": WHOLE_SQL, "op7_mixing": MIX_SQL, "op9_ngram_join": JOIN_SQL}
+    return {"op1_embedding_dedup": LINK_SQL, "op2_decontaminate": FIND_SQL, "op4_line_dedup": DEDUP_SQL, "op7_mixing": MIX_SQL, "op9_ngram_join": JOIN_SQL}

@@ -24,17 +24,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str =
     that does not fit is passed over, the shorter ones after it are not.
 
     Ids are chosen from labels alone; only their texts travel, by a join with those 2 * rows ids.  Rows without an id or
-    with another label than 0 or 1 are not used; of repeated ids one row is.
+    with another label than 0 or 1 are not used, nor are ids that carry both labels; of documents that repeat an id the
+    one with the least text, then language, is.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
+    known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("i", "y")
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), lang.alias("l"))
-    found = texts.join(F.broadcast(chosen.dropDuplicates(["i"])), "i").select("i", "t", "y", "l", F.length("t").alias("n"))
-    sizes = {r["i"]: (r["y"], r["n"]) for r in found.groupBy("i", "y").agg(F.max("n").alias("n")).collect()}
+    found = texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min(F.struct("t", "l")).alias("x")).select("i", "x.t", "y", "x.l")
+    sizes = {r["i"]: (r["y"], r["n"]) for r in found.select("i", "y", F.length("t").alias("n")).collect()}
     order = sorted(sizes, key=lambda i: (hash_of(i), i))
     kept, total = set(), 0
     for classes, most in (((0,), chars // 2), ((1,), chars - chars // 2), ((0, 1), chars)):  # at last what a class has left over

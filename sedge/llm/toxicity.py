@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import working
+from sedge.llm.common import release, working
 from sedge.llm.supervised import labelled_sample, minibatches, scored, sigmoid
 
 #: Hash space of the embeddings, their size, filter widths and filters of each width.
@@ -185,6 +185,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut
     spark = docs.sparkSession
     fitted = train(labelled_sample(docs, labels, label, text))
     model = spark.sparkContext.broadcast(fitted)
+    release()
     docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     out = scored(docs, lambda texts: model.value.score(texts), cut, text, ["lang"])
     cuts = F.create_map(*(F.lit(x) for pair in (fitted.thresholds or {"": 0.5}).items() for x in pair))

@@ -184,6 +184,18 @@ def test_a_long_text_does_not_empty_the_sample(spark):
     assert sorted(r[2] for r in used) == [0, 0, 0, 1, 1, 1]
 
 
+def test_sample_of_repeated_ids(spark):
+    """Of documents that repeat an id the least text is used, whatever the order; ids with both labels are not."""
+    rows = [(1, "b"), (1, "a"), (2, "c"), (3, "d"), (4, None), (4, "x")]
+    used = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame(rows[::turn], "doc_id long, text string")
+        labels = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 1), (3, 1), (4, 1)][::turn], "doc_id long, quality int")
+        used.append([r[:3] for r in labelled_sample(docs, labels, "quality") if r[0] != 2])
+        assert all(r[0] != 2 for r in labelled_sample(docs, labels, "quality"))
+    assert used[0] == used[1] and set(used[0]) <= {(1, "a", 0), (3, "d", 1), (4, "", 1)}
+
+
 def test_attention_gradients():
     x, owner = quality.passages(["an er " * 90 + "TH!! on$$$", "a a a a", ""])
     model = quality.Attention.new(1)

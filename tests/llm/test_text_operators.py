@@ -161,19 +161,15 @@ def test_items_equal_brute_force(spark):
 # ---- line dedup -----------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least):
+def brute_whole(rows, least):
+    """From all runs of `least` words or more that start and end with words."""
     order, first, gone = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), {}, {}
     for n, (_, t) in enumerate(order):
         lines = (t or "").split("\n")
         sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
-        for i in range(len(lines)):
-            if sizes[i] == 0:
-                continue
-            for j in range(i, len(lines)):
-                if sum(sizes[i : j + 1]) >= least:
-                    if first.setdefault("\n".join(lines[i : j + 1]), (n, i)) != (n, i):
-                        gone.setdefault(n, set()).update(range(i, j + 1))
-                    break
+        for i, j in itertools.combinations_with_replacement(range(len(lines)), 2):
+            if sizes[i] and sizes[j] and sum(sizes[i : j + 1]) >= least and first.setdefault("\n".join(lines[i : j + 1]), (n, i)) != (n, i):
+                gone.setdefault(n, set()).update(range(i, j + 1))
     return {d: (len((t or "").split("\n")), len(gone.get(n, ())), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(n, ()))) for n, (d, t) in enumerate(order)}
 
 
@@ -183,7 +179,7 @@ def test_lines_equal_brute_force(spark):
     rows = [(n, "\n".join(r.choice(pool) if r.random() < 0.7 else words(r, 6, 5000) for _ in range(r.randint(1, 30)))) for n in range(40)]
     rows += [(100, None), (101, ""), (102, pool[-2]), (103, pool[-2] + "\n" + pool[-2]), (104, "\n\n\n")]
     got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"]) for x in dedup_lines(frame(spark, rows), 20).collect()}
-    assert got == brute_lines(rows, 20) and sum(x[1] > 0 for x in got.values()) >= 15
+    assert got == brute_whole(rows, 20) and sum(x[1] > 0 for x in got.values()) >= 15
 
 
 def test_lines_of_odd_rows(spark):
@@ -195,18 +191,6 @@ def test_lines_of_odd_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def brute_whole(rows, least):
-    """From all runs of `least` words or more that start and end with words."""
-    order, first, gone = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), {}, {}
-    for n, (_, t) in enumerate(order):
-        lines = (t or "").split("\n")
-        sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
-        for i, j in itertools.combinations_with_replacement(range(len(lines)), 2):
-            if sizes[i] and sizes[j] and sum(sizes[i : j + 1]) >= least and first.setdefault("\n".join(lines[i : j + 1]), (n, i)) != (n, i):
-                gone.setdefault(n, set()).update(range(i, j + 1))
-    return {d: (len((t or "").split("\n")), len(gone.get(n, ())), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(n, ()))) for n, (d, t) in enumerate(order)}
-
-
 def test_whole_repeats_go(spark):
     """The tail of a repeat goes with it, also where it is shorter than a window."""
     r = random.Random(5)
@@ -221,9 +205,9 @@ def test_whole_repeats_go(spark):
         rows.append((n, "\n".join(own)))
     rows += [(200 + n, "\n".join(" ".join(f"{k}_{m}" for m in range(size)) for k, size in enumerate(sizes))) for n, sizes in enumerate([(10, 22, 93, 2)] * 2)]
     rows += [(300, None), (301, ""), (302, pool[10] + "\n\n" + pool[11]), (303, pool[10] + "\n\n" + pool[11]), (304, "\n\n")]
-    got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"]) for x in dedup_lines(frame(spark, rows), 20, whole=True).collect()}
+    got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"]) for x in dedup_lines(frame(spark, rows), 20).collect()}
     assert got == brute_whole(rows, 20) and got[201][2] == "" and got[303][1] == 3
-    plan = dedup_lines(frame(spark, rows), whole=True)._jdf.queryExecution().toString()
+    plan = dedup_lines(frame(spark, rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
