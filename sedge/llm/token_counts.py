@@ -18,7 +18,7 @@ from sedge.llm.common import caches, texts_of, working
 #: Entries of the broadcast table, and of each task's summary of frequent pre-tokens.
 TABLE, SUMMARY = 32_768, 8_192
 #: Entries of a worker's own cache; when full it starts anew.
-CACHE = 200_000
+CACHE = 500_000
 _SUMMARIES = "part long, words array<string>, counts array<long>"
 
 

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from sedge.llm.common import caches, texts_of, working
 
-#: Pre-tokens a worker keeps; when full the cache starts anew.
-CACHE = 200_000
+#: Pre-tokens in a generation of a worker's cache, which keeps two: when the young one is full it becomes the old one,
+#: and the old one's entries go but for those met again, so rare pre-tokens never drive out frequent ones.
+CACHE = 300_000
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 #: The file format: row groups of 16 MB, pages of 256 kB or 4,000 rows, both with column and offset indexes (which
 #: Spark's writer always adds); token ids by dictionary, the ascending columns as deltas.
@@ -52,7 +53,7 @@ class TokenEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.plain, self.words = Tokenizer.from_file(path), {}, {}
+        self.library, self.plain, self.words, self.old = Tokenizer.from_file(path), {}, {}, {}
         starts = {x.content[:2] for x in self.library.get_added_tokens_decoder().values()}
         self.special = re.compile("|".join(map(re.escape, starts))) if starts else None
         self.exact = True
@@ -66,8 +67,13 @@ class TokenEncoder:
         """Makes every token of the lists known: one library call for many texts' new ones."""
         new = {t for tokens in lists for t in tokens if t not in known}
         if len(known) + len(new) > CACHE:
+            self.old[id(known)] = known.copy()
             known.clear()
             new = {t for tokens in lists for t in tokens}
+        if old := self.old.get(id(known)):
+            met = {t: old[t] for t in new if t in old}
+            known.update(met)
+            new -= met.keys()
         new = list(new)
         for at in range(0, len(new), 10_000):
             found = [e.ids for e in self.library.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
