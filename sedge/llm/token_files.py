@@ -65,15 +65,16 @@ class TokenEncoder:
 
     def _learn(self, known: dict[str, bytes], lists: list[list[str]]) -> None:
         """Makes every token of the lists known: one library call for many texts' new ones."""
-        new = {t for tokens in lists for t in tokens if t not in known}
+        every = set().union(*lists)
+        new = every.difference(known)
         if len(known) + len(new) > CACHE:
             self.old[id(known)] = known.copy()
             known.clear()
-            new = {t for tokens in lists for t in tokens}
+            new = every
         if old := self.old.get(id(known)):
-            met = {t: old[t] for t in new if t in old}
-            known.update(met)
-            new -= met.keys()
+            met = new.intersection(old)
+            known.update(zip(met, map(old.__getitem__, met), strict=True))
+            new = new.difference(met)
         new = list(new)
         for at in range(0, len(new), 10_000):
             found = [e.ids for e in self.library.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
