@@ -135,10 +135,10 @@ def _condition(x):
 
 
 def value_node(x):
-    """The node of an operand: a recorded value or a scalar."""
+    """The node of an operand: a recorded value, a scalar, or a structure for a property whose converter stores one."""
     if isinstance(x, Value):
         return x._node
-    if x is None or isinstance(x, (str, int, float, bool, Decimal, dt.date, dt.datetime, bytes)):
+    if x is None or isinstance(x, (dict, str, int, float, bool, Decimal, dt.date, dt.datetime, bytes)):
         return Literal(x)
     raise TranslationError(f"not a value: {x!r}")
 
