@@ -92,8 +92,7 @@ def _by_column(entity: str, column: str, x: Item) -> Item:
 for _name, _entity, _table, _key, _where, _sql in (
     ("filter_eq", "Customer", "customer", "c_custkey", lambda c: c.segment == "BUILDING", "c_mktsegment = 'BUILDING'"),
     ("filter_neq", "Customer", "customer", "c_custkey", lambda c: c.segment != "BUILDING", "c_mktsegment <> 'BUILDING'"),
-    ("filter_ordered_ops", "Order", "orders", "o_orderkey", lambda o: (o.total > 100000) & (o.total <= 200000) & (o.id >= 10) & (o.id < 9000), "o_totalprice > 100000 AND o_totalprice <= 200000 AND o_orderkey >= 10 AND o_orderkey < 9000"),
-    ("filter_ordered_ops_all", "Order", "orders", "o_orderkey", lambda o: (o.total > 100000) & (o.total <= 200000) & (o.customerId >= 10) & (o.priority < "5"), "o_totalprice > 100000 AND o_totalprice <= 200000 AND o_custkey >= 10 AND o_orderpriority < '5'"),
+    ("filter_ordered_ops", "Order", "orders", "o_orderkey", lambda o: (o.total > 100000) & (o.total <= 200000) & (o.customerId >= 10) & (o.priority < "5"), "o_totalprice > 100000 AND o_totalprice <= 200000 AND o_custkey >= 10 AND o_orderpriority < '5'"),
     ("filter_between", "Part", "part", "p_partkey", lambda p: p.size.between(10, 20), "p_size BETWEEN 10 AND 20"),
     ("filter_in", "Order", "orders", "o_orderkey", lambda o: o.status.is_in(["F", "P"]), "o_orderstatus IN ('F', 'P')"),
     ("filter_in_empty", "Order", "orders", "o_orderkey", lambda o: o.status.is_in([]), "false"),
@@ -138,28 +137,15 @@ def top_k(w):
     return w.set("Order").where(lambda o: (o.total > 200000) & o.priority.starts_with("1-")).order_by_desc("total").then_by("id").take(20).select(lambda o: {"orderkey": o.id, "total": o.total}).to_df()
 
 
-@query("SELECT c_custkey AS custkey, c_mktsegment AS segment FROM customer ORDER BY c_mktsegment, c_nationkey DESC, c_custkey LIMIT 100")
-def order_then(w):
-    return w.set("Customer").order_by("segment").then_by_desc("nationId").then_by("id").take(100).select(lambda c: {"custkey": c.id, "segment": c.segment}).to_df()
-
-
-@query("SELECT c_custkey AS custkey, n_name AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 12) ON c_nationkey = n_nationkey ORDER BY n_name DESC NULLS LAST, c_custkey LIMIT 1400")
-def order_desc_nulls(w):
-    m = model()
-    m.entities["Nation"].query_filter(lambda n: n.id > 12)
-    w = Workspace(w.spark, w.tables, m)
-    return w.set("Customer").order_by_desc("nation.name").then_by("id").take(1400).select(lambda c: {"custkey": c.id, "nation": c.nation.name}).to_df()
-
-
 @query("SELECT c_custkey AS custkey, c_mktsegment AS segment FROM customer ORDER BY c_mktsegment, c_nationkey DESC, c_custkey")
-def order_then_all(w):
-    """order_then over all customers, so that its first key changes."""
+def order_then(w):
+    """Over all customers, so that the first key changes."""
     return w.set("Customer").order_by("segment").then_by_desc("nationId").then_by("id").select(lambda c: {"custkey": c.id, "segment": c.segment}).to_df()
 
 
 @query("SELECT c_custkey AS custkey, n_name AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 12) ON c_nationkey = n_nationkey ORDER BY n_name DESC NULLS LAST, c_custkey")
-def order_desc_nulls_all(w):
-    """order_desc_nulls over all customers, so that nulls come in at any size."""
+def order_desc_nulls(w):
+    """Over all customers, so that nulls come in at any size."""
     m = model()
     m.entities["Nation"].query_filter(lambda n: n.id > 12)
     w = Workspace(w.spark, w.tables, m)
@@ -171,13 +157,8 @@ def skip_take(w):
     return w.set("Part").order_by("price").then_by("id").skip(30).take(50).select(lambda p: {"partkey": p.id}).to_df()
 
 
-@query("SELECT DISTINCT p_brand AS brand, p_size AS size FROM part ORDER BY brand, size LIMIT 300")
-def distinct_projection(w):
-    return w.set("Part").select(lambda p: {"brand": p.brand, "size": p.size}).distinct().order_by("brand").then_by("size").take(300).to_df()
-
-
 @query("SELECT DISTINCT p_brand AS brand, p_size AS size FROM part ORDER BY brand, size")
-def distinct_projection_all(w):
+def distinct_projection(w):
     return w.set("Part").select(lambda p: {"brand": p.brand, "size": p.size}).distinct().order_by("brand").then_by("size").to_df()
 
 
