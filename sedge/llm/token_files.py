@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from sedge.llm.common import caches, texts_of, working
 
-#: Pre-tokens in a generation of a worker's cache, which keeps two: when the young one is full it becomes the old one,
-#: and the old one's entries go but for those met again, so rare pre-tokens never drive out frequent ones.
-CACHE = 500_000
+#: Pre-tokens of both kinds in a generation of a worker's cache, which keeps two: when the young one is full it becomes
+#: the old one, and the old one's entries go but for those met again, so rare pre-tokens never drive out frequent ones.
+CACHE = 300_000
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 #: The file format: row groups of 16 MB, pages of 256 kB or 4,000 rows, both with column and offset indexes (which
 #: Spark's writer always adds); token ids by dictionary, the ascending columns as deltas.
@@ -53,7 +53,7 @@ class TokenEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.plain, self.words, self.old = Tokenizer.from_file(path), {}, {}, {}
+        self.library, self.young, self.old = Tokenizer.from_file(path), ({}, {}), ({}, {})
         starts = {x.content[:2] for x in self.library.get_added_tokens_decoder().values()}
         self.special = re.compile("|".join(map(re.escape, starts))) if starts else None
         self.exact = True
@@ -63,24 +63,22 @@ class TokenEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, known: dict[str, bytes], lists: list[list[str]]) -> None:
-        """Makes every token of the lists known: one library call for many texts' new ones."""
+    def _learn(self, kind: int, lists: list[list[str]]) -> dict[str, bytes]:
+        """The young generation's tokens of a kind, all those of the lists among them: one library call for many texts' new ones."""
         every = set().union(*lists)
-        new = every.difference(known)
-        if len(known) + len(new) > CACHE:
-            self.old[id(known)] = known.copy()
-            known.clear()
-            new = every
-        if old := self.old.get(id(known)):
-            met = new.intersection(old)
-            known.update(zip(met, map(old.__getitem__, met), strict=True))
-            new = new.difference(met)
-        new = list(new)
+        new = every.difference(self.young[kind])
+        if sum(map(len, self.young)) + len(new) > CACHE:
+            self.old, self.young, new = self.young, ({}, {}), every
+        known, old = self.young[kind], self.old[kind]
+        met = new.intersection(old)
+        known.update(zip(met, map(old.__getitem__, met), strict=True))
+        new = list(new.difference(met))
         for at in range(0, len(new), 10_000):
             found = [e.ids for e in self.library.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
             flat = np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes()
             ends = [4 * n for n in itertools.accumulate(map(len, found), initial=0)]
             known.update(zip(new[at : at + 10_000], map(flat.__getitem__, map(slice, ends, ends[1:])), strict=False))
+        return known
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -91,9 +89,9 @@ class TokenEncoder:
                 out[n] = self._whole(text)
             else:
                 (words if _EXOTIC.search(text) else plain).append(n)
-        for some, known, split in ((plain, self.plain, lambda t: _PLAIN.findall(t.lower())), (words, self.words, _WORDS.findall)):
+        for kind, some, split in ((0, plain, lambda t: _PLAIN.findall(t.lower())), (1, words, _WORDS.findall)):
             lists = [split(texts[n]) for n in some]
-            self._learn(known, lists)
+            known = self._learn(kind, lists)
             for n, tokens in zip(some, lists, strict=True):
                 out[n] = np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<u4")
         return out
@@ -171,6 +169,7 @@ def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, the CRC-32 of the ids as little-endian 32-bit integers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("token digests")  # the encoder's cache ends before files are read back
         for batch in it:
             lists = batch.column("ids")
             values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
