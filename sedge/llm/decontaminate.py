@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import WordHashes, shingle_hashes, word_hashes
+from sedge.llm.common import Scratch, WordHashes, shingle_hashes, word_hashes
 
 #: Items that one broadcast index holds; more items are searched for in further blocks, each with a pass of its own.
 BLOCK_ITEMS, BLOCK_BYTES = 50_000, 16 << 20
@@ -99,21 +99,44 @@ def _blocks(items: DataFrame, text: str) -> Iterator[list[tuple[int, list[bytes]
         yield held
 
 
+def _searches(docs: DataFrame, items: DataFrame, k: int, threshold: tuple[int, int], text: str) -> Iterator[tuple[Column, bool]]:
+    """For each block of items in turn: a column of its matches in docs' texts, and whether it is the last block.
+
+    But for the last one, the caller writes its result down before it asks for the next: the block's index is destroyed
+    then, so neither the driver nor a worker ever holds two, however many items there are.
+    """
+    spark = docs.sparkSession
+    blocks = _blocks(items, text)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        index = spark.sparkContext.broadcast(Index(block, k, threshold))
+        yield F.arrow_udf(_finder(index), MATCHES)(F.col(text)), after is None
+        if after is not None:
+            index.destroy()
+        block = after
+
+
 def with_matches(docs: DataFrame, items: DataFrame, column: str = "matches", k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text") -> DataFrame:
     """docs with an array of (item_id, n_shared, n_shingles) for the items found in each whole text.
 
     An item is found if the document has at least `threshold` of its distinct k-word shingles (A-Z lower-cased, words
-    between ASCII blanks); an item of fewer than k words is one shingle.  Nothing is shuffled: sketches of a block of
-    items are broadcast (at most BLOCK_ITEMS items or about BLOCK_BYTES of text), each text is read once for each block.
-    Null or empty texts match nothing, nor do null, empty or wordless items and those without an id; items that repeat
-    are reported each; repeated rows of docs get the same matches.  Without items or documents the result is empty
-    arrays or no rows.
+    between ASCII blanks); an item of fewer than k words is one shingle.  Nothing is shuffled: the sketches of a block of
+    items are broadcast (at most BLOCK_ITEMS items or about BLOCK_BYTES of text); each further block reads the texts
+    again, from a table written after the block before.  Null or empty texts match nothing, nor do null, empty or
+    wordless items and those without an id; items that repeat are reported each; repeated rows of docs get the same
+    matches.  Without items or documents the result is empty arrays or no rows.
     """
-    spark = docs.sparkSession
-    parts = []
-    for block in _blocks(items, text):
-        parts.append(F.arrow_udf(_finder(spark.sparkContext.broadcast(Index(block, k, threshold))), MATCHES)(F.col(text)))
-    return docs.withColumn(column, F.concat(*parts) if parts else F.array().cast(MATCHES))
+    scratch, before = Scratch(docs.sparkSession), None
+    out = docs.withColumn(column, F.array().cast(MATCHES))
+    for found, last in _searches(docs, items, k, threshold, text):
+        out = out.withColumn(column, F.concat(column, found))
+        if not last:
+            out = scratch.save(out, "matches")
+            if before is not None:
+                scratch.drop(before)
+            before = out
+    return out
 
 
 def _finder(index):
@@ -129,16 +152,33 @@ def _finder(index):
     return find
 
 
-def find_items(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles), one row for each item found in a document."""
+def find_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles), one row for each item found in a document; rules as for with_matches.
+    With several blocks of items only the rows found are written down between them."""
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return with_matches(rows, items, "m", **parameters).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """docs without those in which an item is found; other rows and all columns as they are."""
-    mark = "__sedge_matches"
-    return with_matches(docs, items, mark, **parameters).where(F.size(mark) == 0).drop(mark)
+    out = None
+    for found, last in _searches(rows, items, k, threshold, "text"):
+        part = rows.withColumn("m", found).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+        part = part if last else scratch.save(part, "found")
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = rows.select("doc_id", F.explode(F.array().cast(MATCHES)).alias("m")).select("doc_id", "m.*")
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text") -> DataFrame:
+    """docs without those in which an item is found; other rows and all columns as they are; rules as for with_matches."""
+    scratch, mark, before = Scratch(docs.sparkSession), "__sedge_matches", None
+    out = docs
+    for found, last in _searches(docs, items, k, threshold, text):
+        out = out.withColumn(mark, found).where(F.size(mark) == 0).drop(mark)
+        if not last:
+            out = scratch.save(out, "clean")
+            if before is not None:
+                scratch.drop(before)
+            before = out
+    return out
 
 
 #: The same in DuckDB, for items of five words or more.

@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from sedge.llm import mixing, pii
+from sedge.llm import decontaminate, mixing, pii
 from sedge.llm.common import Scratch
-from sedge.llm.decontaminate import drop_contaminated, find_items
+from sedge.llm.decontaminate import drop_contaminated, find_items, with_matches
 from sedge.llm.line_dedup import dedup_lines
 from sedge.llm.mixing import emitted, mix
 from sedge.llm.ngram_join import Rule, join_documents, keep_one
@@ -124,7 +125,9 @@ def test_join_needs_no_pairs_of_a_large_group(spark, monkeypatch):
 # ---- decontamination ------------------------------------------------------------------------------------------------
 
 
-def test_items_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [50_000, 9])
+def test_items_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
     r = random.Random(2)
     items = [(n, words(r, r.choice([1, 3, 5, 6, 12, 40, 70]), 3000)) for n in range(25)] + [(90, None), (91, ""), (None, "q r s")]
     docs = []
@@ -152,6 +155,8 @@ def test_items_equal_brute_force(spark):
                 want.add((d, i, len(own & here), len(own)))
     table = spark.createDataFrame(items, "item_id long, text string")
     assert set(map(tuple, find_items(frame(spark, docs), table).collect())) == want and len(want) > 15
+    listed = with_matches(frame(spark, docs), table, "found").select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+    assert set(map(tuple, listed.collect())) == want
     clean = drop_contaminated(frame(spark, docs), table)
     assert clean.columns == frame(spark, docs).columns
     assert Counter(x["doc_id"] for x in clean.collect()) == Counter(d for d, _ in docs if d not in {x[0] for x in want})
