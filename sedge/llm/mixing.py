@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import WORD
+from sedge.llm.common import WORD, Scratch
 
-#: Sources are a dimension of the corpus, not a part of it; beyond this many the operator refuses rather than guess.
-MOST_SOURCES = 200_000
+#: A table of rates with at most this many sources and bytes of names is broadcast; larger ones stay distributed.
+MOST_SOURCES, MOST_BYTES = 200_000, 32 << 20
+#: Sources of at least this share of all rows, so at most 1 / HOT of them, are broadcast even then.
+HOT = 1e-5
+PATTERN = (3, 1, 2)
+RATES = "mix_source string, mix_source_size long, mix_target double, mix_rate double"
 
 
-def cycle_weights(names: list[str | None], weights: tuple[int, ...] = (3, 1, 2)) -> dict[str | None, int]:
+def cycle_weights(names: list[str | None], weights: tuple[int, ...] = PATTERN) -> dict[str | None, int]:
     """Sources in code-point order, null last, weigh 3, 1, 2, 3, 1, 2, ..."""
     order = sorted((n for n in names if n is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in names)
     return {n: weights[i % len(weights)] for i, n in enumerate(order)}
@@ -37,25 +41,66 @@ def copies(rate, seed: str, *key):
     return (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: Callable[[list], dict] = cycle_weights, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def _small_rates(totals: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """mix_source, mix_source_size, mix_target and mix_rate of a few sources, worked out on the driver."""
+    sizes = {r["source"]: r["size"] for r in totals.collect()}
+    wanted = targets(sizes, cycle_weights(list(sizes), weights), share, most) if sizes else {}
+    rows = [(n, sizes[n], float(wanted[n]), wanted[n] / sizes[n] if sizes[n] else 0.0) for n in sizes]
+    return totals.sparkSession.createDataFrame(rows, RATES)
+
+
+def _large_rates(totals: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """The same for any number of sources: they are sorted over the cluster, their places follow from one count a
+    partition, and the level of the targets rises by one sum over the sources at a time until no source is above it."""
+    spark = totals.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    local = scratch.save(totals.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["p"], r["count"]) for r in local.groupBy(part.alias("p")).count().collect())
+    starts = spark.createDataFrame(list(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0), strict=False)), "p long, start long")
+    rank = (F.col("start") + place) % len(weights) + 1
+    weighed = local.join(F.broadcast(starts), part == F.col("p")).select("source", "size", F.element_at(F.array(*map(F.lit, weights)), rank.cast("int")).cast("double").alias("w"))
+    weighed = scratch.save(weighed, "weights")
+    budget, level = share * (weighed.agg(F.sum("size")).first()[0] or 0), 0.0  # a source takes level * weight or its cap
+    free = F.lit(most) * F.col("size") >= F.lit(level) * F.col("w")
+    while True:
+        r = weighed.agg(F.sum(F.when(~free, F.lit(most) * F.col("size"))).alias("capped"), F.sum(F.when(free & (F.col("size") > 0), F.col("w"))).alias("w")).first()
+        now = (budget - (r["capped"] or 0.0)) / r["w"] if r["w"] else level
+        if now <= level:
+            break
+        level = now
+        free = F.lit(most) * F.col("size") >= F.lit(level) * F.col("w")
+    target = F.least(F.lit(most) * F.col("size"), F.lit(level) * F.col("w"))
+    return weighed.select(F.col("source").alias("mix_source"), F.col("size").alias("mix_source_size"), target.alias("mix_target"), F.when(F.col("size") > 0, target / F.col("size")).otherwise(0.0).alias("mix_rate"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = PATTERN, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs with size, source_size, target (the source's), rate and n_copies added under the prefix `mix_`.
 
-    A document's size is its number of words (null: 0).  Two jobs: totals by source (pre-aggregated, one row per source
-    reaches the driver, at most MOST_SOURCES), then a map over the documents with the rates broadcast; no document is
-    shuffled, so a hot source costs nothing.  A source's expected words equal its target; one document's copies depend
-    on seed and doc_id alone, so reruns and retried tasks agree.  Repeated rows get equal draws.  An empty table stays
-    empty; sources of size 0 get target and rate 0; a null source is a source of its own; a null doc_id draws as ''.
+    A document's size is its number of words (null: 0).  Two jobs: totals by source (pre-aggregated), then a map over the
+    documents with the rates broadcast; no document is shuffled, so a hot source costs nothing.  With more than
+    MOST_SOURCES sources, or MOST_BYTES of their names, rates stay a table; then only sources that hold a share of HOT of
+    all rows are broadcast, and the other documents are joined by source, of which none is hot.  A source's expected
+    words equal its target; one document's copies depend on seed and doc_id alone, so reruns and retried tasks agree.
+    Repeated rows get equal draws.  An empty table stays empty; sources of size 0 get target and rate 0; a null source is
+    a source of its own; a null doc_id draws as ''.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    totals = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["size"] for r in totals}
-    wanted = targets(sizes, weights(list(sizes)), share, most) if sizes else {}
-    rows = [(n, sizes[n], float(wanted[n]), wanted[n] / sizes[n] if sizes[n] else 0.0) for n in sizes]
-    rates = spark.createDataFrame(rows, "mix_source string, mix_source_size long, mix_target double, mix_rate double")
-    out = docs.withColumn("mix_size", size).join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+    totals = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    totals = scratch.save(totals, "totals")
+    all_of = totals.agg(F.count("*").alias("k"), F.sum(F.octet_length("source")).alias("b"), F.sum("n").alias("n")).first()
+    same = F.col("source").eqNullSafe(F.col("mix_source"))
+    sized = docs.withColumn("mix_size", size)
+    if all_of["k"] <= MOST_SOURCES and (all_of["b"] or 0) <= MOST_BYTES:
+        out = sized.join(F.broadcast(_small_rates(totals, weights, share, most)), same, "left").drop("mix_source")
+    else:
+        rates = scratch.save(_large_rates(totals.select("source", "size"), scratch, weights, share, most), "rates")
+        hot_names = totals.where(F.col("n") >= F.lit(HOT * all_of["n"])).select(F.col("source").alias("hot_source"))
+        hot = rates.join(F.broadcast(hot_names), F.col("mix_source").eqNullSafe(F.col("hot_source")), "left_semi")
+        cold = rates.join(F.broadcast(hot_names), F.col("mix_source").eqNullSafe(F.col("hot_source")), "left_anti")
+        out = sized.join(F.broadcast(hot), same).drop("mix_source").union(sized.join(cold.hint("merge"), same).drop("mix_source"))
     return out.withColumn("mix_copies", F.when(F.col("mix_rate") == 0, F.lit(0).cast("long")).otherwise(copies(F.col("mix_rate"), seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
 

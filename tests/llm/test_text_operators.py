@@ -304,6 +304,21 @@ def test_mix(spark):
     assert mix(frame(spark, rows).where("false")).count() == 0
 
 
+def test_mix_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    r = random.Random(8)
+    names = [f"s{n}" for n in range(60)] + ["é", "\U0001f389", "\uffee", None, "none"]
+    rows = [(n, None if s == "none" else words(r, r.choice([1, 5, 200])), s) for n, s in enumerate(names * 3 + ["s7"] * 400)]
+
+    def result():
+        return {x["doc_id"]: (x["mix_size"], x["mix_source_size"], round(x["mix_target"], 6), x["mix_copies"]) for x in mix(frame(spark, rows)).collect()}
+
+    want = result()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "HOT", 0.1)
+    assert result() == want and len(want) == len(rows)
+    assert mix(frame(spark, rows)).columns == mix(frame(spark, rows).where("source = 's1'")).columns
+
+
 # ---- personal data --------------------------------------------------------------------------------------------------
 
 PATTERNS = (
