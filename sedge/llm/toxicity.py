@@ -153,7 +153,7 @@ def train(sample: list[tuple], epochs: int = 8, rate: float = 0.15, seed: int =
         sums["o"] += grad_o**2
         out -= 0.2 * rate * grad_o / np.sqrt(sums["o"])
         bias -= 0.5 * rate * grad_b
-    used = np.abs(rows[:-1]).max(axis=1) > 0.08  # a row that no step moved holds only its small first noise
+    used = (sums["E"][:-1] > 1e-2).any(axis=1)  # a row that no step moved holds only its small first noise
     model = Convolution(buckets[used], rows[:-1][used], filters, out, float(bias))
     model.thresholds = _thresholds(model, [sample[i] for i in range(len(y)) if i % 10 == 0])
     return model
