@@ -19,7 +19,7 @@ from sedge.llm.common import caches, texts_of, working
 
 #: Pre-tokens of both kinds in a generation of a worker's cache, which keeps two: when the young one is full it becomes
 #: the old one, and the old one's entries go but for those met again, so rare pre-tokens never drive out frequent ones.
-CACHE = 300_000
+CACHE = 500_000
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 #: The file format: row groups of 16 MB, pages of 256 kB or 4,000 rows, both with column and offset indexes (which
 #: Spark's writer always adds); token ids by dictionary, the ascending columns as deltas.
