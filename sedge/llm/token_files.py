@@ -20,6 +20,8 @@ from sedge.llm.common import caches, texts_of, working
 #: Pre-tokens of both kinds in a generation of a worker's cache, which keeps two: when the young one is full it becomes
 #: the old one, and the old one's entries go but for those met again, so rare pre-tokens never drive out frequent ones.
 CACHE = 500_000
+#: New pre-tokens in one text for the library.
+JOINED = 200
 FILE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 #: The file format: row groups of 16 MB, pages of 256 kB or 4,000 rows, both with column and offset indexes (which
 #: Spark's writer always adds); token ids by dictionary, the ascending columns as deltas.
@@ -74,12 +76,34 @@ class TokenEncoder:
         known.update(zip(met, map(old.__getitem__, met), strict=True))
         new = list(new.difference(met))
         for at in range(0, len(new), 10_000):
-            found = [e.ids for e in self.library.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
-            flat = np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes()
-            ends = [4 * n for n in itertools.accumulate(map(len, found), initial=0)]
-            known.update(zip(new[at : at + 10_000], map(flat.__getitem__, map(slice, ends, ends[1:])), strict=False))
+            some = new[at : at + 10_000]
+            flat, sizes = self._joined(some) if kind == 0 else self._each(some)
+            ends = [4 * n for n in itertools.accumulate(sizes, initial=0)]
+            known.update(zip(some, map(flat.__getitem__, map(slice, ends, ends[1:])), strict=True))
         return known
 
+    def _each(self, tokens: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all tokens and their number for each, every token a text of its own."""
+        found = [e.ids for e in self.library.encode_batch_fast(tokens, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes(), list(map(len, found))
+
+    def _joined(self, tokens: list[str]) -> tuple[bytes, list[int]]:
+        """As _each for tokens that _PLAIN cut: the library gets JOINED of them as one text, blanks between, and says which
+        ids belong to which; a text that it cuts into another number of pre-tokens is taken token by token."""
+        lines = [tokens[at : at + JOINED] for at in range(0, len(tokens), JOINED)]
+        ids, sizes = [], []
+        for line, found in zip(lines, self.library.encode_batch(list(map(" ".join, lines)), add_special_tokens=False), strict=True):
+            owners = found.word_ids
+            counts = np.bincount(np.array(owners, np.int64)) if owners and None not in owners else np.zeros(0, np.int64)
+            if len(counts) == len(line) and counts.all():
+                ids.append(np.array(found.ids, "<u4").tobytes())
+                sizes += counts.tolist()
+            else:
+                flat, some = self._each(line)
+                ids.append(flat)
+                sizes += some
+        return b"".join(ids), sizes
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list = [None] * len(texts)
