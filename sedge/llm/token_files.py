@@ -51,11 +51,11 @@ class TokenEncoder:
     does with texts that may hold special tokens.
     """
 
-    def __init__(self, path: str, exact: bool | None = None):
+    def __init__(self, path: str, exact: bool | None = None, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.young, self.old = Tokenizer.from_file(path), ({}, {}), ({}, {})
+        self.library, self.young, self.old, self.most = Tokenizer.from_file(path), ({}, {}), ({}, {}), cache
         starts = {x.content[:2] for x in self.library.get_added_tokens_decoder().values()}
         self.special = re.compile("|".join(map(re.escape, starts))) if starts else None
         self.exact = True
@@ -69,7 +69,7 @@ class TokenEncoder:
         """The young generation's tokens of a kind, all those of the lists among them: one library call for many texts' new ones."""
         every = set().union(*lists)
         new = every.difference(self.young[kind])
-        if sum(map(len, self.young)) + len(new) > CACHE:
+        if sum(map(len, self.young)) + len(new) > self.most:
             self.old, self.young, new = self.young, ({}, {}), every
         known, old = self.young[kind], self.old[kind]
         met = new.intersection(old)
@@ -122,25 +122,26 @@ class TokenEncoder:
 
 
 @cache
-def _kept(path: str) -> TokenEncoder:
-    return TokenEncoder(path)
+def _kept(path: str, most: int) -> TokenEncoder:
+    return TokenEncoder(path, cache=most)
 
 
 caches("token files", _kept.cache_clear)
 
 
-def _encoder(path: str) -> TokenEncoder:
+def _encoder(path: str, most: int) -> TokenEncoder:
     """One encoder for a worker process, so that its cache outlives a task."""
     working("token files")
-    return _kept(path)
+    return _kept(path, most)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, partitions: int | None = None, cache: int = CACHE) -> None:
     """Writes docs (doc_id, text) as token files in ascending doc_id order (null first, ties by text).
 
     Raw texts are range-partitioned and sorted first and encoded after that, so Spark's sampling pass costs a scan, not
     an encoding; a task streams its sorted rows and keeps no more than one Arrow batch.  A null text is empty and gets
-    the end id alone; an empty table gives an empty data set.  Long texts are encoded whole.
+    the end id alone; an empty table gives an empty data set.  Long texts are encoded whole.  `cache` bounds a worker's
+    memory and has no influence on any id.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -148,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, start = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = _encoder(tokenizer, cache), TaskContext.get().partitionId(), 0
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in it:
             for at in range(0, batch.num_rows, 500):
