@@ -13,6 +13,11 @@ from sedge.llm.queries import tokenizer_path
 from sedge.llm.token_files import digests, read_tokens, write_tokens
 
 
+#: Pre-tokens in a generation of a worker's cache: fewer than a job of its own takes, as executors still hold what the
+#: stages before needed.
+TOKEN_CACHE = 200_000
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones among docs."""
     return keep_good(docs, table(spark, sf_dir, "labels"), cut=0.3)
@@ -36,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, read back from the token files."""
     path = Scratch(spark).path("tokens")
-    write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=1, cache=TOKEN_CACHE)
     return digests(read_tokens(spark, path))
 
 
