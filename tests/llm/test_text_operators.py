@@ -237,6 +237,18 @@ def test_encoder_and_counter_equal_the_libraries():
         assert counter.count(text) == len(sp.encode(text))
 
 
+def test_encoder_with_a_small_cache_and_tokens_in_one_text():
+    encoder = TokenEncoder(tokenizer_path("word_bpe_49k.json"), cache=50)
+    texts = odd_texts(400)
+    for at in range(0, len(texts), 7):
+        for text, ids in zip(texts[at : at + 7], encoder.encode(texts[at : at + 7]), strict=True):
+            assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    tokens = [f"w{n}x".translate(str.maketrans("0123456789", "abcdefghij")) for n in range(450)] + ["'s", "7", "--", "été"]
+    assert encoder._joined(tokens) == encoder._each(tokens)
+    assert encoder._joined(["a", "b c", "d"]) == encoder._each(["a", "b c", "d"])  # cut into four: taken one by one
+    assert encoder._joined([" ", "x"]) == encoder._each([" ", "x"]) and encoder._joined([]) == encoder._each([])
+
+
 def test_token_counts_of_whole_tables(spark):
     import sentencepiece
 
