@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm.common import Scratch, table
+from sedge.llm.common import Scratch, collect_executors, table
 from sedge.llm.decontaminate import drop_contaminated
 from sedge.llm.mixing import emitted, mix
 from sedge.llm.ngram_join import Rule, keep_one
@@ -42,15 +45,27 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, start, n_tokens and ids_crc32, read back from the token files."""
     path = Scratch(spark).path("tokens")
     write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=1, cache=TOKEN_CACHE)
+    collect_executors(spark)
     return digests(read_tokens(spark, path))
 
 
+def fresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun when executors have given back what the stages before needed."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("n-gram Jaccard join", ngram_jaccard_join),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("mixing sources to target weights", mixing),
-    ("token-ID output", token_output),
+    ("quality classifier", fresh(quality_classifier)),
+    ("n-gram Jaccard join", fresh(ngram_jaccard_join)),
+    ("benchmark decontamination", fresh(benchmark_decontamination)),
+    ("mixing sources to target weights", fresh(mixing)),
+    ("token-ID output", fresh(token_output)),
 ]
 
 #: A trained model, a similarity join and a tokenizer are no SQL; tests hold each stage against a brute-force version.

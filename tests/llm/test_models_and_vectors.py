@@ -257,3 +257,19 @@ def test_pipeline(spark, tmp_path):
     assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
     assert keep_good(now.sparkSession.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).count() == len(seen[0])
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, seen[4]))
+
+
+def test_stages_begin_with_collected_executors(spark, tmp_path):
+    """A heap that the stages before have grown shrinks before a stage's workers come on top, and again before files are read back."""
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.createDataFrame([(n, "some words here", "s") for n in range(20)], "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, least in (("mixing sources to target weights", 1), ("token-ID output", 2)):
+        before = collections()
+        out = stages[name](spark, docs, str(tmp_path))
+        assert collections() >= before + least, name
+        assert out.count() > 0
